@@ -34,7 +34,7 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dates(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.date_axis(_clean(spark, sf))
+    return matrix.date_axis(_best(spark, sf))
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,13 +188,14 @@ def _q_mapped_best_rank(spark, sf):
 def _q_mapped_trend_matrix(spark, sf):
     """Vocabulary, mapping and matrix in one go, as cells."""
     best = _q_mapped_best_rank(spark, sf)
-    curves = matrix.trend_curves(best, _dates(spark, sf), TERM_CAP)
-    return _rounded(matrix.cells(curves, _dates(spark, sf)), "log_rank")
+    dates = matrix.date_axis(best)
+    return _rounded(matrix.cells(matrix.trend_curves(best, dates, TERM_CAP), dates), "log_rank")
 
 
 def _q_keep_empty_dates(spark, sf):
     """Axis dates when rows with a bad rank count as well."""
-    return matrix.date_axis(logs.clean_log(term_log(spark, sf), keep_empty_dates=True))
+    kept = logs.clean_log(term_log(spark, sf), keep_empty_dates=True)
+    return matrix.date_axis(kept, keep_empty_dates=True)
 
 
 def _q_clean_log(spark, sf):
@@ -629,7 +630,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT word, count(*) AS count FROM w
             WHERE word NOT IN ('for','with','and','in','the','of','to','a','men','women','kids','pack','set')
               AND NOT list_contains(string_split('{SEED}', ' '), word)
-            GROUP BY word ORDER BY count(*) DESC, min((pos, at)) LIMIT 10""", "recs"),
+            GROUP BY word ORDER BY count(*) DESC, min(pos * 100000 + "at") LIMIT 10""", "recs"),
         "quadrants": _sql("""
             SELECT term, round(semantic_score, 6) AS semantic_score, round(trend_corr, 6) AS trend_corr,
                    CASE WHEN semantic_score >= 0.7 AND trend_corr >= 0.5 THEN 'substitute'

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from trendlab.functions.arrays import bind
 
+# Executors need not have this package installed: the model's UDF travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Embedder = Callable[[Column], Column]
 
 

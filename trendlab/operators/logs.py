@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trendlab.functions import char_count, parse_rank
+from trendlab.functions import char_count, is_rank, parse_rank
 
 
 def clean_log(log: DataFrame, keep_empty_dates: bool = False, term_col: str = "term") -> DataFrame:
@@ -13,9 +13,10 @@ def clean_log(log: DataFrame, keep_empty_dates: bool = False, term_col: str = "t
     By default a row needs a term, a date and a rank. ``keep_empty_dates`` keeps rows whose rank is
     bad, so that a date with only bad ranks stays an axis date; their rank is null.
     """
-    ranked = log.withColumn("rank", parse_rank(F.col("rank_raw"))).drop("rank_raw")
-    needed = [term_col, "report_date"] if keep_empty_dates else [term_col, "report_date", "rank"]
-    return ranked.dropna(subset=needed)
+    dated = log.where(F.col(term_col).isNotNull() & F.col("report_date").isNotNull())
+    if not keep_empty_dates:
+        dated = dated.where(is_rank(F.col("rank_raw")))
+    return dated.withColumn("rank", parse_rank(F.col("rank_raw"))).drop("rank_raw")
 
 
 def build_vocab(log: DataFrame) -> DataFrame:

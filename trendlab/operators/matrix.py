@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trendlab.functions import log_rank
+from trendlab.functions import bind, log_rank
 
 RANK_CAP = 2_000_000
 # Report dates are a calendar axis that travels with the plan as one array. This is over 270 years
@@ -17,9 +17,15 @@ RANK_CAP = 2_000_000
 MAX_DATES = 100_000
 
 
-def date_axis(log: DataFrame) -> DataFrame:
-    """The report dates of a log: the columns of the matrix, before any term is filtered out."""
-    return log.select("report_date").where(F.col("report_date").isNotNull()).distinct()
+def date_axis(best: DataFrame, keep_empty_dates: bool = False) -> DataFrame:
+    """The report dates of best ranks (or of a cleaned log): the columns of the matrix.
+
+    Taken before terms are filtered, so that filtering never shortens the axis. A date without any
+    valid rank is on it only with ``keep_empty_dates``. Derived from the same best ranks as the
+    matrix, the axis reuses their shuffle instead of reading the log again.
+    """
+    used = best if keep_empty_dates else best.where(F.col("rank").isNotNull())
+    return used.select("report_date").where(F.col("report_date").isNotNull()).distinct()
 
 
 def axis_array(dates: DataFrame) -> Column:
@@ -45,22 +51,36 @@ def filter_summary(best: DataFrame, cap: float = RANK_CAP) -> DataFrame:
     return terms.agg(before.alias("before"), after.alias("after"), removed.alias("removed_pct"))
 
 
+def _dense_arrays(best: DataFrame, dates: DataFrame, fill: Column, value: Column) -> DataFrame:
+    """One array per term over the whole date axis: ``term, best, filled``.
+
+    Each cell gets its place on the axis from a broadcast of the dates, whose number ``axis_array``
+    bounds. Per term the cells are sorted by place and the gaps before, between and after them are
+    filled with runs of ``fill``, so the work is linear in the axis and no dense row is shuffled.
+    """
+    axis = dates.sparkSession.range(1).select(F.posexplode(axis_array(dates)).alias("at", "report_date"))
+    placed = best.where(F.col("rank").isNotNull()).join(F.broadcast(axis), "report_date")
+    cell = F.struct("at", value.alias("value"))
+    per_term = placed.groupBy("term").agg(
+        F.min("rank").alias("best"), F.sort_array(F.collect_list(cell)).alias("known")
+    ).withColumn("n_dates", F.size(axis_array(dates)))
+
+    def run(cells: Column, x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(cells[F.greatest(i - 1, F.lit(0))]["at"])
+        return F.concat(F.array_repeat(fill, x["at"] - before - 1), F.array(x["value"]))
+
+    runs = bind(F.col("known"), lambda c: F.transform(c, lambda x, i: run(c, x, i)))
+    tail = F.array_repeat(fill, F.col("n_dates") - 1 - F.element_at("known", -1)["at"])
+    return per_term.select("term", "best", F.concat(F.flatten(runs), tail).alias("filled"))
+
+
 def densify(best: DataFrame, dates: DataFrame, fill: float = RANK_CAP) -> DataFrame:
     """Every (term, date) cell, with ``fill`` where a term has no rank.
 
     The dates come from their own DataFrame because filtering terms must not shorten the axis.
-    Cells are looked up in a per-term map instead of joining terms x dates back to the ranks.
     """
-    cell = F.when(F.col("rank").isNotNull(), F.struct("report_date", "rank"))
-    known = best.groupBy("term").agg(F.map_from_entries(F.collect_list(cell)).alias("known"))
-    return (
-        known.select("term", "known", F.explode(axis_array(dates)).alias("report_date"))
-        .select(
-            "term",
-            "report_date",
-            F.coalesce(F.try_element_at("known", F.col("report_date")), F.lit(float(fill))).alias("rank"),
-        )
-    )
+    dense = _dense_arrays(best, dates, F.lit(float(fill)), F.col("rank").cast("double"))
+    return cells(dense.select("term", F.col("filled").alias("curve")), dates, "rank")
 
 
 def to_log(matrix: DataFrame) -> DataFrame:
@@ -69,7 +89,7 @@ def to_log(matrix: DataFrame) -> DataFrame:
 
 def curves(matrix: DataFrame) -> DataFrame:
     """One array of log ranks per term, in date order."""
-    ordered = F.array_sort(F.collect_list(F.struct("report_date", "log_rank")))
+    ordered = F.sort_array(F.collect_list(F.struct("report_date", "log_rank")))
     return matrix.groupBy("term").agg(F.transform(ordered, lambda c: c["log_rank"]).alias("curve"))
 
 
@@ -81,18 +101,9 @@ def trend_curves(
     The filter runs on the aggregate, and each curve is built from its own cells, so the dense
     cells never exist as rows.
     """
-    cell = F.when(F.col("rank").isNotNull(), F.struct("report_date", "rank"))
-    per_term = best.groupBy("term").agg(
-        F.min("rank").alias("best"), F.map_from_entries(F.collect_list(cell)).alias("known")
-    )
-    kept = per_term.where(F.col("best") < cap).withColumn("axis", axis_array(dates))
-    return kept.select(
-        "term",
-        F.transform(
-            "axis",
-            lambda d: log_rank(F.coalesce(F.try_element_at("known", d), F.lit(float(fill)))),
-        ).alias("curve"),
-    )
+    filled = log_rank(F.lit(float(fill)))
+    dense = _dense_arrays(best, dates, filled, log_rank(F.col("rank")))
+    return dense.where(F.col("best") < cap).select("term", F.col("filled").alias("curve"))
 
 
 def cells(curve_df: DataFrame, dates: DataFrame, value: str = "log_rank") -> DataFrame:
@@ -154,16 +165,24 @@ def verify(matrix: DataFrame, terms: DataFrame, dates: DataFrame) -> DataFrame:
     ``value`` counts offences, so 0 passes everywhere but in the three ``has_`` rows, which count
     the rows of a part and need at least one.
     """
-    term_rows = terms.agg(F.count(F.lit(1))).scalar()
-    distinct_terms = terms.agg(F.count_distinct("term")).scalar()
-    date_rows = dates.agg(F.count_distinct("report_date")).scalar()
-    matrix_terms = matrix.agg(F.count_distinct("term")).scalar()
-    facts = matrix.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("log_rank").isNull() | F.isnan("log_rank")).alias("bad"),
-    ).select(
-        "n", "bad", term_rows.alias("term_rows"), distinct_terms.alias("distinct_terms"),
-        date_rows.alias("date_rows"), matrix_terms.alias("matrix_terms"),
+    def by_term(df: DataFrame) -> DataFrame:
+        return df.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+    term_counts = by_term(terms).agg(
+        F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("terms"))
+    ).scalar()
+    date_rows = dates.select("report_date").distinct().agg(F.count(F.lit(1))).scalar()
+    bad = F.count_if(F.col("log_rank").isNull() | F.isnan("log_rank"))
+    facts = (
+        matrix.groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"))
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+            F.count(F.lit(1)).alias("matrix_terms"),
+        )
+        .withColumns({"counts": term_counts, "date_rows": date_rows})
+        .select("*", F.col("counts.rows").alias("term_rows"), F.col("counts.terms").alias("distinct_terms"))
     )
 
     def check(name: str, value: Column, passed: Column) -> Column:

@@ -9,22 +9,16 @@ shuffled, and hashing the (distinct) terms keeps blocks even whatever the texts
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trendlab.functions import l2_normalize, ngram_embedder
 from trendlab.functions.embedding import Embedder
+from trendlab.operators.tiles import SIM_DIGITS, tile_top_k
 
-# Similarities are compared after rounding, so ties do not depend on summation order.
-SIM_DIGITS = 9
 # Rows of a block: at 384 dimensions a tile holds two blocks of 25 MB each in DOUBLE.
 MAX_BLOCK_ROWS = 8_192
 MIN_BLOCK_ROWS = 256
-# Queries scored at once inside a tile; bounds the score strip to 32 MB.
-_STRIP_ROWS = 512
 
 
 def embed_terms(terms: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -45,64 +39,6 @@ def _block_count(vectors: DataFrame, parallelism: int, block_rows: int | None) -
     return vectors.agg(F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")).scalar()
 
 
-def _matrix_of(table: pa.Table) -> np.ndarray:
-    vectors = table.column("vector").combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
-
-
-def _strip_top_k(scores: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, ...]:
-    """Row, column and rounded score of the ``k`` best columns per row.
-
-    Columns stand in term order, so a stable sort by score settles ties the way the join defines.
-    """
-    scale = 10.0**SIM_DIGITS
-    scores = np.floor(scores * scale + 0.5) / scale
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-        keep = scores >= (kth if floor is None else np.maximum(kth, floor))
-    else:
-        keep = scores >= (-np.inf if floor is None else floor)
-    row, col = np.nonzero(keep)
-    order = np.lexsort((col, -scores[row, col], row))
-    row, col = row[order], col[order]
-    starts = np.searchsorted(row, row, side="left")
-    first_k = np.arange(len(row)) - starts < k
-    row, col = row[first_k], col[first_k]
-    return row, col, scores[row, col]
-
-
-def _tile_top_k(k: int, floor: float | None):
-    def tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("term", "ascending")])
-        left_block, right_block = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-        block = table.column("block").to_numpy()
-        left = table.filter(pa.array(block == left_block))
-        sides = [(left, left)]
-        if left_block != right_block:
-            right = table.filter(pa.array(block == right_block))
-            sides = [(left, right), (right, left)]
-        parts = []
-        for queries, targets in sides:
-            if not len(queries) or not len(targets):
-                continue
-            q, t = _matrix_of(queries), _matrix_of(targets).T
-            for start in range(0, len(q), _STRIP_ROWS):
-                row, col, sim = _strip_top_k(q[start:start + _STRIP_ROWS] @ t, k, floor)
-                parts.append(
-                    pa.table({
-                        "term": queries.column("term").take(pa.array(row + start)),
-                        "neighbor": targets.column("term").take(pa.array(col)),
-                        "sim": pa.array(sim),
-                    })
-                )
-        schema = pa.schema([("term", table.schema.field("term").type),
-                            ("neighbor", table.schema.field("term").type), ("sim", pa.float64())])
-        return pa.concat_tables(p.cast(schema) for p in parts) if parts else schema.empty_table()
-
-    return tile
-
-
 def knn_join(
     vectors: DataFrame, k: int = 20, threshold: float | None = None, block_rows: int | None = None
 ) -> DataFrame:
@@ -130,7 +66,7 @@ def knn_join(
     # coalesced by their size.
     tiles = tiled.repartition(parallelism, "left", "right").groupBy("left", "right")
     found = tiles.applyInArrow(
-        _tile_top_k(k, threshold), "term string, neighbor string, sim double"
+        tile_top_k(k, threshold), "term string, neighbor string, sim double"
     )
     by_similarity = Window.partitionBy("term").orderBy(F.desc("sim"), F.asc("neighbor"))
     return found.withColumn("pos", F.row_number().over(by_similarity)).where(F.col("pos") <= k)

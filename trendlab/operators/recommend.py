@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trendlab.functions import centred, cosine, norm, pearson_to
-from trendlab.operators.neighbors import SIM_DIGITS
+from trendlab.operators.tiles import SIM_DIGITS
 
 MIN_TOKEN = 3
 
