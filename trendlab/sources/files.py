@@ -1,36 +1,39 @@
 """What the report files look like before they are read as tables: encoding, header, defects.
 
 One text pass gives a small row per file. The pass aggregates on the map side, so neither a huge
-file nor a folder of many files is ever gathered in one place; the driver only sees the distinct
-headers.
+file nor a folder of many files is ever gathered in one place.
 """
 
 from __future__ import annotations
 
 import csv
+import re
+import sys
 from collections.abc import Iterable
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trendlab.functions import is_rank
 
+# Executors need not have this package installed: the header UDF travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Java names of the encodings tried, in this order. GB2312 text is valid GBK.
 UTF8, GBK = "UTF-8", "GBK"
 # Fixed value: one valid character of GBK, as bytes read one character each.
 _GBK_CHARACTER = r"[\x00-\x80]|[\x81-\xfe][\x40-\x7e\x80-\xfe]"
-_BOM = "﻿"
-
-_PROFILE = T.StructType([
-    T.StructField("encoding", T.StringType()),
-    T.StructField("header", T.BinaryType()),
-    T.StructField("columns", T.ArrayType(T.StringType())),
-])
+_BOM = "\ufeff"
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """All files of a folder, empty ones included. Contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.col("_metadata.file_path").alias("file"))
+    """Names of all files of a folder. They come from Spark's own file listing, because a scan
+    passes over empty files."""
+    listed = spark.read.option("pathGlobFilter", glob).text(path).inputFiles()
+    # The listing writes an empty authority as "file:///", row metadata as "file:/".
+    names = [re.sub(r"^([a-z][a-z0-9+.-]*):///", r"\1:/", n) for n in listed]
+    return spark.createDataFrame([(n,) for n in names], T.StructType([T.StructField("file", T.StringType())]))
 
 
 def _is_gbk(line: Column) -> Column:
@@ -61,10 +64,16 @@ def clean_names(names: Iterable[str]) -> list[str]:
     return [n.replace(_BOM, "").strip() for n in names]
 
 
-def _header_columns(encoding: str | None, header: bytes) -> list[str] | None:
-    if encoding is None:
-        return None
-    return clean_names(next(csv.reader([header.decode(encoding).replace(_BOM, "")]), []))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _header_columns(encoding: pd.Series, header: pd.Series) -> pd.Series:
+    """Column names from the first line of each file."""
+
+    def names(enc: str | None, line: bytes) -> list[str] | None:
+        if enc is None:
+            return None
+        return clean_names(next(csv.reader([bytes(line).decode(enc)]), []))
+
+    return pd.Series([names(e, h) for e, h in zip(encoding, header)], dtype=object)
 
 
 def inspect_files(
@@ -76,13 +85,9 @@ def inspect_files(
     ``missing`` lists the required columns the header lacks. Header names are trimmed and free of
     a byte order mark.
     """
-    profile = _text_profile(spark, path, glob)
-    distinct = profile.select("encoding", "header").distinct().collect()
-    parsed = [(r.encoding, r.header, _header_columns(r.encoding, bytes(r.header))) for r in distinct]
-    headers = spark.createDataFrame(parsed, _PROFILE)
-    known = profile.join(
-        headers, profile.encoding.eqNullSafe(headers.encoding) & (profile.header == headers.header)
-    ).select("file", profile.encoding, "columns", F.lit(False).alias("empty"))
+    known = _text_profile(spark, path, glob).select(
+        "file", "encoding", _header_columns("encoding", "header").alias("columns"), F.lit(False).alias("empty")
+    )
     wanted = F.array(*(F.lit(c) for c in required)).cast("array<string>")
     return (
         list_files(spark, path, glob)
