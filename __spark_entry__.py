@@ -33,43 +33,58 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
     return logs.best_rank(_clean(spark, sf))
 
 
-def _dates(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.date_axis(_best(spark, sf))
-
-
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
     return logs.build_vocab(term_log(spark, sf))
 
 
+def _best_and_dates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    best = _best(spark, sf)
+    return best, matrix.date_axis(best)
+
+
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    kept = matrix.filter_terms(_best(spark, sf), TERM_CAP)
-    return matrix.densify(kept, _dates(spark, sf))
+    best, dates = _best_and_dates(spark, sf)
+    return matrix.densify(matrix.filter_terms(best, TERM_CAP), dates)
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.to_log(_dense(spark, sf))
 
 
+def _curves_and_dates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    best, dates = _best_and_dates(spark, sf)
+    return matrix.trend_curves(best, dates, TERM_CAP), dates
+
+
 def _curves(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.trend_curves(_best(spark, sf), _dates(spark, sf), TERM_CAP)
+    return _curves_and_dates(spark, sf)[0]
+
+
+def _features_and_dates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    curves, dates = _curves_and_dates(spark, sf)
+    return neighbors.embed_terms(curves), dates
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.embed_terms(_curves(spark, sf))
+    return _features_and_dates(spark, sf)[0]
 
 
-def _neighbors(spark: SparkSession, sf: str, rule: str) -> DataFrame:
-    vectors = neighbors.embed_terms(_vocab(spark, sf))
-    return neighbors.knn_join(vectors, threshold=mapping.THRESHOLDS[rule])
+def _neighbors(vocab: DataFrame, rule: str) -> DataFrame:
+    return neighbors.knn_join(neighbors.embed_terms(vocab), threshold=mapping.THRESHOLDS[rule])
 
 
 def _mapping(spark: SparkSession, sf: str, rule: str) -> DataFrame:
-    return mapping.canonical(_neighbors(spark, sf, rule), _vocab(spark, sf), rule)
+    vocab = _vocab(spark, sf)
+    return mapping.canonical(_neighbors(vocab, rule), vocab, rule)
 
 
-def _recs(spark: SparkSession, sf: str) -> DataFrame:
+def _equal_weights(features: DataFrame) -> DataFrame:
     """The dashboard's list: equal weights, 50 places."""
-    return recommend.recommend(_features(spark, sf), SEED, 0.5, 0.5, 50)
+    return recommend.recommend(features, SEED, 0.5, 0.5, 50)
+
+
+def _recs(spark: SparkSession, sf: str) -> DataFrame:
+    return _equal_weights(_features(spark, sf))
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -219,7 +234,7 @@ def _q_curves(spark, sf):
 
 
 def _q_trend_matrix(spark, sf):
-    return _rounded(matrix.cells(_curves(spark, sf), _dates(spark, sf)), "log_rank")
+    return _rounded(matrix.cells(*_curves_and_dates(spark, sf)), "log_rank")
 
 
 def _q_pivot_matrix(spark, sf):
@@ -233,8 +248,8 @@ def _q_matrix_stats(spark, sf):
 
 
 def _q_verify(spark, sf):
-    terms = _curves(spark, sf).select("term")
-    return matrix.verify(_long(spark, sf), terms, _dates(spark, sf))
+    curves, dates = _curves_and_dates(spark, sf)
+    return matrix.verify(matrix.cells(curves, dates), curves.select("term"), dates)
 
 
 def _q_duplicate_terms(spark, sf):
@@ -268,19 +283,23 @@ def _q_text_variants(spark, sf):
     return recommend.text_variants(_curves(spark, sf).select("term"), SEED)
 
 
-def _q_compare_set(spark, sf):
-    features = _features(spark, sf)
+def _compare_set(features: DataFrame) -> DataFrame:
     return recommend.compare_set(
         SEED, recommend.semantic_neighbors(features, SEED, 30), recommend.text_variants(features, SEED)
     )
 
 
+def _q_compare_set(spark, sf):
+    return _compare_set(_features(spark, sf))
+
+
 def _q_volatility(spark, sf):
     return _rounded(insights.volatility(_recs(spark, sf)), "volatility", "avg_rank", digits=3)
 
 
 def _q_seasonality(spark, sf):
-    return _rounded(insights.seasonality(_recs(spark, sf), _dates(spark, sf)), "heat")
+    features, dates = _features_and_dates(spark, sf)
+    return _rounded(insights.seasonality(_equal_weights(features), dates), "heat")
 
 
 def _q_attributes(spark, sf):
@@ -292,18 +311,20 @@ def _q_quadrants(spark, sf):
 
 
 def _q_plot_rows(spark, sf):
-    rows = insights.plot_rows(_curves(spark, sf), _dates(spark, sf), _q_compare_set(spark, sf))
-    return _rounded(rows, "rank", digits=3)
+    features, dates = _features_and_dates(spark, sf)
+    return _rounded(insights.plot_rows(features, dates, _compare_set(features)), "rank", digits=3)
 
 
 def _q_trend_compare(spark, sf):
-    rows = insights.trend_compare(_curves(spark, sf), _dates(spark, sf), SEED, _recs(spark, sf))
+    features, dates = _features_and_dates(spark, sf)
+    rows = insights.trend_compare(features, dates, SEED, _equal_weights(features))
     return _rounded(rows, "rank", digits=3)
 
 
 def _q_viewer_pivot(spark, sf):
+    curves, dates = _curves_and_dates(spark, sf)
     chosen = spark.range(1).select(F.lit(SEED).alias("term"))
-    rows = _rounded(insights.plot_rows(_curves(spark, sf), _dates(spark, sf), chosen), "rank", digits=3)
+    rows = _rounded(insights.plot_rows(curves, dates, chosen), "rank", digits=3)
     return insights.viewer_pivot(rows, [SEED])
 
 
@@ -336,7 +357,7 @@ def queries() -> dict[str, Query]:
         "trend_correlation": _q_trend_correlation,
         "knn_embeddings": _q_knn_embeddings,
         "knn_top_k": _q_knn_top_k,
-        "knn_terms": lambda s, d: _neighbors(s, d, "fewest_words"),
+        "knn_terms": lambda s, d: _neighbors(_vocab(s, d), "fewest_words"),
         "canonical_shortest": lambda s, d: _mapping(s, d, "shortest"),
         "canonical_fewest_words": lambda s, d: _mapping(s, d, "fewest_words"),
         "change_log": _q_change_log,

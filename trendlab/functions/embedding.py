@@ -36,7 +36,7 @@ def ngram_embedder(dim: int = 64) -> Embedder:
         counts = bind(
             F.coalesce(grams, F.array().cast("array<int>")),
             lambda g: F.transform(
-                slots, lambda s: F.size(F.filter(g, lambda x: x == s)).cast("double")
+                slots, lambda s: (F.size(g) - F.size(F.array_remove(g, s))).cast("double")
             ),
         )
         return F.when(term.isNotNull(), counts)

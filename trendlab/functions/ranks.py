@@ -19,9 +19,14 @@ def is_rank(c: Column) -> Column:
     return _digits(c).rlike(_NUMBER)
 
 
+def rank_value(c: Column) -> Column:
+    """The number in a text known to hold a rank."""
+    return _digits(c).try_cast("double")
+
+
 def parse_rank(c: Column) -> Column:
     """Rank text with thousands separators to DOUBLE; text that is no number becomes null."""
-    return F.when(is_rank(c), _digits(c).try_cast("double"))
+    return F.when(is_rank(c), rank_value(c))
 
 
 def parse_date(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trendlab.functions import char_count, is_rank, parse_rank
+from trendlab.functions import char_count, is_rank, parse_rank, rank_value
 
 
 def clean_log(log: DataFrame, keep_empty_dates: bool = False, term_col: str = "term") -> DataFrame:
@@ -14,9 +14,10 @@ def clean_log(log: DataFrame, keep_empty_dates: bool = False, term_col: str = "t
     bad, so that a date with only bad ranks stays an axis date; their rank is null.
     """
     dated = log.where(F.col(term_col).isNotNull() & F.col("report_date").isNotNull())
-    if not keep_empty_dates:
-        dated = dated.where(is_rank(F.col("rank_raw")))
-    return dated.withColumn("rank", parse_rank(F.col("rank_raw"))).drop("rank_raw")
+    text = F.col("rank_raw")
+    if keep_empty_dates:
+        return dated.withColumn("rank", parse_rank(text)).drop("rank_raw")
+    return dated.where(is_rank(text)).withColumn("rank", rank_value(text)).drop("rank_raw")
 
 
 def build_vocab(log: DataFrame) -> DataFrame:

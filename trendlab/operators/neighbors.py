@@ -16,9 +16,10 @@ from trendlab.functions import l2_normalize, ngram_embedder
 from trendlab.functions.embedding import Embedder
 from trendlab.operators.tiles import SIM_DIGITS, tile_top_k
 
-# Rows of a block: at 384 dimensions a tile holds two blocks of 25 MB each in DOUBLE.
-MAX_BLOCK_ROWS = 8_192
+# Rows of a block: at 384 dimensions a tile holds two blocks of 50 MB each in DOUBLE.
+MAX_BLOCK_ROWS = 16_384
 MIN_BLOCK_ROWS = 256
+TILES_PER_TASK = 4
 
 
 def embed_terms(terms: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def _block_count(vectors: DataFrame, parallelism: int, block_rows: int | None) -
     if block_rows:
         blocks = F.ceil(n / F.lit(block_rows))
     else:
-        enough = F.least(F.ceil(n / F.lit(MIN_BLOCK_ROWS)), F.lit(math.ceil(math.sqrt(2 * parallelism))))
+        enough = F.least(F.ceil(n / F.lit(MIN_BLOCK_ROWS)), F.lit(math.ceil(math.sqrt(2 * TILES_PER_TASK * parallelism))))
         blocks = F.greatest(F.ceil(n / F.lit(MAX_BLOCK_ROWS)), enough)
     return vectors.agg(F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")).scalar()
 
@@ -51,8 +52,9 @@ def knn_join(
     """
     spark = vectors.sparkSession
     parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    usable = vectors.where(F.col("vector").isNotNull()).select("term", "vector")
-    blocked = usable.withColumn("_n", _block_count(usable, parallelism, block_rows)).withColumn(
+    # Terms without a vector are left out inside the tiles. A filter here would be pushed below the
+    # de-duplication of the vocabulary and embed every row of the log.
+    blocked = vectors.withColumn("_n", _block_count(vectors, parallelism, block_rows)).withColumn(
         "block", F.pmod(F.xxhash64("term"), F.col("_n")).cast("int")
     )
     pairs = F.transform(

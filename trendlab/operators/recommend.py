@@ -29,7 +29,10 @@ def _seed_value(features: DataFrame, seed: str, *values: Column) -> Column:
 
 def _top_k(scored: DataFrame, seed: str, score: str, k: int) -> DataFrame:
     """The k best by score, then without the seed, which normally leaves k - 1 rows."""
-    top = scored.orderBy(F.desc(score), F.asc("term")).limit(k).where(F.col("term") != seed)
+    top = scored.orderBy(F.desc_nulls_last(score), F.asc("term")).limit(k)
+    # A null score sorts last. Filtering it out before the limit would be pushed down, past the
+    # aggregation that made the features, and score rows instead of terms.
+    top = top.where(F.col(score).isNotNull() & (F.col("term") != seed))
     # At most k rows are left, so numbering them in one partition is safe.
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc("term"))
     return top.withColumn("pos", F.row_number().over(order))
@@ -78,11 +81,10 @@ def recommend(
 
 
 def semantic_scores(features: DataFrame, seed: str) -> DataFrame:
-    """Cosine of every term with the seed. Terms without a vector are left out."""
+    """Cosine of every term with the seed; null for a term without a vector."""
     value = _seed_value(features, seed, F.col("vector"))
     return (
-        features.where(F.col("vector").isNotNull())
-        .withColumn("_seed", value["vector"])
+        features.withColumn("_seed", value["vector"])
         .where(F.col("_seed").isNotNull())
         .select("term", F.round(cosine(F.col("vector"), F.col("_seed")), SIM_DIGITS).alias("score"))
     )

@@ -14,8 +14,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Similarities are compared after rounding, so ties do not depend on summation order.
 SIM_DIGITS = 9
-# Queries scored at once; with the largest block this bounds the score strip to 32 MB.
-STRIP_ROWS = 512
+# Scores held at once: a strip of queries against one block, 32 MB.
+STRIP_SCORES = 4_194_304
+# Above this share of scores over the floor, rows are cut to their k best before sorting.
+DENSE = 0.05
 
 
 def _matrix_of(table: pa.Table) -> np.ndarray:
@@ -24,30 +26,38 @@ def _matrix_of(table: pa.Table) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def _strip_top_k(scores: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, ...]:
-    """Row, column and rounded score of the ``k`` best columns per row.
+def _strip_top_k(scores: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
+    """Row, column and rounded score of the ``k`` best columns per row that reach ``floor``.
 
-    Columns stand in term order, so a stable sort by score settles ties the way the join defines.
+    Columns stand in term order, so equal rounded scores are settled by column. Only candidates are
+    rounded: one rounding unit of slack keeps whatever could still round up to the bar.
     """
     scale = 10.0**SIM_DIGITS
-    scores = np.floor(scores * scale + 0.5) / scale
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-        keep = scores >= (kth if floor is None else np.maximum(kth, floor))
-    else:
-        keep = scores >= (-np.inf if floor is None else floor)
-    row, col = np.nonzero(keep)
-    order = np.lexsort((col, -scores[row, col], row))
-    row, col = row[order], col[order]
-    starts = np.searchsorted(row, row, side="left")
-    first_k = np.arange(len(row)) - starts < k
-    row, col = row[first_k], col[first_k]
-    return row, col, scores[row, col]
+    bar = floor - 1 / scale
+    over = scores >= bar
+    if scores.shape[1] > k and np.count_nonzero(over) > DENSE * scores.size:
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        over = scores >= np.maximum(bar, kth - 1 / scale)[:, None]
+    row, col = np.nonzero(over)
+    sim = np.floor(scores[row, col] * scale + 0.5) / scale
+    reached = sim >= floor
+    row, col, sim = row[reached], col[reached], sim[reached]
+    order = np.lexsort((col, -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    first_k = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[first_k], col[first_k], sim[first_k]
 
 
-def tile_top_k(k: int, floor: float | None) -> Callable[[pa.Table], pa.Table]:
+def tile_top_k(k: int, threshold: float | None) -> Callable[[pa.Table], pa.Table]:
+    """The function for one tile: rows of its two blocks in, at most ``k`` neighbours per row out."""
+    floor = -np.inf if threshold is None else threshold
+
     def tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("term", "ascending")])
+        table = table.filter(table.column("vector").is_valid()).sort_by([("term", "ascending")])
+        text = table.schema.field("term").type
+        schema = pa.schema([("term", text), ("neighbor", text), ("sim", pa.float64())])
+        if not len(table):
+            return schema.empty_table()
         left_block, right_block = table.column("left")[0].as_py(), table.column("right")[0].as_py()
         block = table.column("block").to_numpy()
         left = table.filter(pa.array(block == left_block))
@@ -60,8 +70,9 @@ def tile_top_k(k: int, floor: float | None) -> Callable[[pa.Table], pa.Table]:
             if not len(queries) or not len(targets):
                 continue
             q, t = _matrix_of(queries), _matrix_of(targets).T
-            for start in range(0, len(q), STRIP_ROWS):
-                row, col, sim = _strip_top_k(q[start:start + STRIP_ROWS] @ t, k, floor)
+            step = max(1, STRIP_SCORES // t.shape[1])
+            for start in range(0, len(q), step):
+                row, col, sim = _strip_top_k(q[start:start + step] @ t, k, floor)
                 parts.append(
                     pa.table({
                         "term": queries.column("term").take(pa.array(row + start)),
@@ -69,8 +80,6 @@ def tile_top_k(k: int, floor: float | None) -> Callable[[pa.Table], pa.Table]:
                         "sim": pa.array(sim),
                     })
                 )
-        schema = pa.schema([("term", table.schema.field("term").type),
-                            ("neighbor", table.schema.field("term").type), ("sim", pa.float64())])
         return pa.concat_tables(p.cast(schema) for p in parts) if parts else schema.empty_table()
 
     return tile
