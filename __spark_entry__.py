@@ -243,7 +243,7 @@ def _q_pivot_matrix(spark, sf):
 
 def _q_matrix_stats(spark, sf):
     return _rounded(
-        matrix.matrix_stats(_long(spark, sf)), "min_value", "max_value", "mean_value", "std_value"
+        matrix.matrix_stats(matrix.cells(*_curves_and_dates(spark, sf))), "min_value", "max_value", "mean_value", "std_value"
     )
 
 

@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Curves are collected per term, at most one value per report date. The default of 128 groups
+    # sends nearly every task to the slower sort-based aggregation.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     # Report dates are calendar dates; keep them free of the machine's zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
