@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendlab import sources as src
-from trendlab.plans import run_pipeline
+from trendlab.plans import build_trend_matrix, run_pipeline
 from trendlab.sources.files import list_files
 
 HEADER = "normalized_term,报告日期,搜索频率排名"
@@ -112,6 +112,9 @@ def test_pipeline(spark, folder, tmp_path, rule):
     mapped = spark.read.parquet(f"{out}/mapped_log")
     assert {"mapped_term", "term", "rank_raw", "extra", "report_date"} <= set(mapped.columns)
     assert mapped.count() == 7
+    again = build_trend_matrix(mapped, str(tmp_path / "again"), term_col="mapped_term")
+    curves = lambda stored: sorted(map(tuple, stored.curves.collect()))
+    assert curves(again) == curves(res.matrix)
 
 
 def test_csv_sinks(spark, tmp_path):

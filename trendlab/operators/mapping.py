@@ -83,10 +83,12 @@ def mapping_stats(mapping: DataFrame, threshold: float) -> DataFrame:
 def apply_mapping(log: DataFrame, mapping: DataFrame) -> DataFrame:
     """Every log row with ``mapped_term``; a term without mapping keeps its own text.
 
-    One hop only: a term mapped to b stays on b even if b maps on. Spark broadcasts a small mapping;
-    with a large one a hot term is split by the adaptive skew join.
+    One hop only: a term mapped to b stays on b even if b maps on. Only terms that change are looked
+    up. Spark broadcasts a small list of those; with a large one a hot term is split by the adaptive
+    skew join.
     """
-    lookup = mapping.select("term", F.col("canonical").alias("mapped_term"))
+    changed = mapping.where(F.col("term") != F.col("canonical"))
+    lookup = changed.select("term", F.col("canonical").alias("mapped_term"))
     joined = log.join(lookup, "term", "left")
     return joined.withColumn("mapped_term", F.coalesce("mapped_term", "term")).select(
         *log.columns, "mapped_term"

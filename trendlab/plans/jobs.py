@@ -58,13 +58,15 @@ def build_trend_matrix(
     fill: float = mx.RANK_CAP,
     keep_empty_dates: bool = False,
     mapping: DataFrame | None = None,
+    term_col: str = "term",
 ) -> Matrix:
     """Clean a raw log, take the best ranks and store matrix, statistics and filter summary.
 
-    With ``mapping`` the matrix is one of canonical terms.
+    The matrix is one of canonical terms with ``mapping``, or with ``term_col="mapped_term"`` when
+    the log is a stored mapped log.
     """
-    clean = logs.clean_log(log, keep_empty_dates)
-    ranks = logs.best_rank(clean) if mapping is None else m.mapped_best_rank(clean, mapping)
+    clean = logs.clean_log(log, keep_empty_dates, term_col)
+    ranks = logs.best_rank(clean, term_col) if mapping is None else m.mapped_best_rank(clean, mapping)
     best = _stored(ranks, f"{out}/best_rank")
     dates = mx.date_axis(best, keep_empty_dates)
     stored = write_matrix(mx.trend_curves(best, dates, cap, fill), dates, out)

@@ -40,10 +40,14 @@ def write_mapping_sample(mapping: DataFrame, path: str, n: int = 1000) -> None:
 
 
 def write_matrix(curves: DataFrame, dates: DataFrame, path: str) -> Matrix:
-    """Curves, long cells, terms and dates as four tables; terms and cells follow the stored curves."""
+    """Curves, long cells, terms and dates as four tables; terms and cells follow the stored curves.
+
+    Curves are stored in term order, so that a scan for one term skips the files and row groups of
+    the others.
+    """
     spark = curves.sparkSession
-    dates.write.mode("overwrite").parquet(f"{path}/dates")
-    curves.write.mode("overwrite").parquet(f"{path}/trend_curve")
+    dates.orderBy("report_date").write.mode("overwrite").parquet(f"{path}/dates")
+    curves.orderBy("term").write.mode("overwrite").parquet(f"{path}/trend_curve")
     stored = spark.read.parquet(f"{path}/trend_curve")
     axis = spark.read.parquet(f"{path}/dates")
     stored.select("term").write.mode("overwrite").parquet(f"{path}/terms")
@@ -60,7 +64,7 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.select("term", "vector").write.mode("overwrite").parquet(path)
+    vectors.select("term", "vector").orderBy("term").write.mode("overwrite").parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
