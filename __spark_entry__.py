@@ -70,7 +70,8 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _neighbors(vocab: DataFrame, rule: str) -> DataFrame:
-    return neighbors.knn_join(neighbors.embed_terms(vocab), threshold=mapping.THRESHOLDS[rule])
+    vectors = neighbors.embed_terms(vocab, spread=True)
+    return neighbors.knn_join(vectors, threshold=mapping.THRESHOLDS[rule])
 
 
 def _mapping(spark: SparkSession, sf: str, rule: str) -> DataFrame:

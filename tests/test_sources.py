@@ -104,6 +104,7 @@ def test_pipeline(spark, folder, tmp_path, rule):
     assert res.matrix.long.count() == len(terms) * 3
     features = src.load_features(spark, f"{out}/matrix", f"{out}/vectors")
     assert features.where(F.size("vector") == 64).count() == len(terms)
+    assert res.features.columns == ["term", "vector", "curve"] and res.features.count() == len(terms)
     bare = src.load_features(spark, f"{out}/matrix")
     assert bare.where("vector is null").count() == len(terms)
     stats = json.loads(spark.read.text(f"{out}/matrix/matrix_stats").first().value)

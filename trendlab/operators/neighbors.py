@@ -22,20 +22,31 @@ MIN_BLOCK_ROWS = 256
 TILES_PER_TASK = 4
 
 
-def embed_terms(terms: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """Unit vectors of distinct terms, stored as FLOAT. Other columns pass through."""
+def parallelism(df: DataFrame) -> int:
+    """Number of tasks for work that is heavy per row but small in bytes."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def embed_terms(terms: DataFrame, embedder: Embedder | None = None, spread: bool = False) -> DataFrame:
+    """Unit vectors of distinct terms, stored as FLOAT. Other columns pass through.
+
+    ``spread`` first deals the rows out to all tasks. A vocabulary is small in bytes, so that Spark
+    would otherwise read or coalesce it into few tasks, while embedding is slow per row.
+    """
     embed = embedder or ngram_embedder()
-    raw = terms.withColumn("vector", embed(F.col("term")))
+    rows = terms.repartition(parallelism(terms)) if spread else terms
+    raw = rows.withColumn("vector", embed(F.col("term")))
     return raw.withColumn("vector", l2_normalize(F.col("vector")).cast("array<float>"))
 
 
-def _block_count(vectors: DataFrame, parallelism: int, block_rows: int | None) -> Column:
+def _block_count(vectors: DataFrame, tasks: int, block_rows: int | None) -> Column:
     """Number of blocks as a scalar subquery: enough tiles to use the cluster, none too large."""
     n = F.count(F.lit(1))
     if block_rows:
         blocks = F.ceil(n / F.lit(block_rows))
     else:
-        enough = F.least(F.ceil(n / F.lit(MIN_BLOCK_ROWS)), F.lit(math.ceil(math.sqrt(2 * TILES_PER_TASK * parallelism))))
+        enough = F.least(F.ceil(n / F.lit(MIN_BLOCK_ROWS)), F.lit(math.ceil(math.sqrt(2 * TILES_PER_TASK * tasks))))
         blocks = F.greatest(F.ceil(n / F.lit(MAX_BLOCK_ROWS)), enough)
     return vectors.agg(F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")).scalar()
 
@@ -50,11 +61,10 @@ def knn_join(
     Cost is quadratic in the number of terms and so is the work of any exact method; data moved is
     the vectors times the number of blocks.
     """
-    spark = vectors.sparkSession
-    parallelism = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = parallelism(vectors)
     # Terms without a vector are left out inside the tiles. A filter here would be pushed below the
     # de-duplication of the vocabulary and embed every row of the log.
-    blocked = vectors.withColumn("_n", _block_count(vectors, parallelism, block_rows)).withColumn(
+    blocked = vectors.withColumn("_n", _block_count(vectors, tasks, block_rows)).withColumn(
         "block", F.pmod(F.xxhash64("term"), F.col("_n")).cast("int")
     )
     pairs = F.transform(
@@ -66,7 +76,7 @@ def knn_join(
     tiled = blocked.select("term", "vector", "block", F.inline(pairs).alias("left", "right"))
     # An explicit partition count: tiles are small in bytes but heavy in work, and must not be
     # coalesced by their size.
-    tiles = tiled.repartition(parallelism, "left", "right").groupBy("left", "right")
+    tiles = tiled.repartition(tasks, "left", "right").groupBy("left", "right")
     found = tiles.applyInArrow(
         tile_top_k(k, threshold), "term string, neighbor string, sim double"
     )

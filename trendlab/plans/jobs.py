@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendlab.functions.embedding import Embedder
 from trendlab.operators import logs, mapping as m, matrix as mx, neighbors
 from trendlab.sources import (
-    LogColumns, Matrix, accepted, file_quality_report, inspect_files, read_matrix, read_term_log, run_summary,
+    LogColumns, Matrix, accepted, file_quality_report, inspect_files, load_features, read_matrix, read_term_log, run_summary,
     write_change_log, write_mapped, write_mapping_sample, write_matrix, write_stats, write_vectors,
 )
 
@@ -19,6 +19,7 @@ class Outputs(NamedTuple):
     mapping: DataFrame
     matrix: Matrix
     checks: DataFrame
+    features: DataFrame
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -35,7 +36,7 @@ def build_mapping(
 ) -> DataFrame:
     """Canonical term of every vocabulary term, by nearest neighbours of its vectors."""
     limit = m.THRESHOLDS[rule] if threshold is None else threshold
-    vectors = neighbors.embed_terms(vocab, embedder)
+    vectors = neighbors.embed_terms(vocab, embedder, spread=True)
     return m.canonical(neighbors.knn_join(vectors, k, limit), vocab, rule, limit)
 
 
@@ -83,7 +84,7 @@ def verify_stored(spark: SparkSession, path: str) -> DataFrame:
 
 def embed_kept_terms(stored: Matrix, path: str, embedder: Embedder | None = None) -> None:
     """Vectors of the terms the matrix kept."""
-    write_vectors(neighbors.embed_terms(stored.terms, embedder), path)
+    write_vectors(neighbors.embed_terms(stored.terms, embedder, spread=True), path)
 
 
 def run_pipeline(
@@ -98,7 +99,10 @@ def run_pipeline(
     cap: float = mx.RANK_CAP,
     keep_empty_dates: bool = False,
 ) -> Outputs:
-    """From a folder of reports to mapping, matrix, checks and vectors under ``out``."""
+    """From a folder of reports to mapping, matrix, checks, vectors and features under ``out``.
+
+    ``features`` joins curves and vectors once, so that each seed is scored by a plain scan.
+    """
     files = _stored(inspect_files(spark, path, cols.required()), f"{out}/files")
     raw = read_term_log(spark, path, cols, files=files)
     report = _stored(file_quality_report(raw, files), f"{out}/skipped_files")
@@ -113,4 +117,5 @@ def run_pipeline(
     stored = build_trend_matrix(log, f"{out}/matrix", cap, keep_empty_dates=keep_empty_dates, mapping=mapping)
     checks = _stored(verify_stored(spark, f"{out}/matrix"), f"{out}/checks")
     embed_kept_terms(stored, f"{out}/vectors", embedder)
-    return Outputs(mapping, stored, checks)
+    features = load_features(spark, f"{out}/matrix", f"{out}/vectors").orderBy("term")
+    return Outputs(mapping, stored, checks, _stored(features, f"{out}/features"))

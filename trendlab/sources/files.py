@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Java names of the encodings tried, in this order. GB2312 text is valid GBK.
 UTF8, GBK = "UTF-8", "GBK"
 # Fixed value: one valid character of GBK, as bytes read one character each.
-_GBK_CHARACTER = r"[\x00-\x80]|[\x81-\xfe][\x40-\x7e\x80-\xfe]"
+_GBK_CHARACTER = r"[\x00-\x7f]|[\x81-\xfe][\x40-\x7e\x80-\xfe]"
 _BOM = "\ufeff"
 
 
@@ -66,12 +66,16 @@ def clean_names(names: Iterable[str]) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _header_columns(encoding: pd.Series, header: pd.Series) -> pd.Series:
-    """Column names from the first line of each file."""
+    """Column names from the first line of each file; null if it cannot be decoded after all."""
 
     def names(enc: str | None, line: bytes) -> list[str] | None:
         if enc is None:
             return None
-        return clean_names(next(csv.reader([bytes(line).decode(enc)]), []))
+        try:
+            text = bytes(line).decode(enc)
+        except UnicodeDecodeError:
+            return None
+        return clean_names(next(csv.reader([text]), []))
 
     return pd.Series([names(e, h) for e, h in zip(encoding, header)], dtype=object)
 
@@ -81,7 +85,8 @@ def inspect_files(
 ) -> DataFrame:
     """One row per file: ``file, empty, encoding, columns, missing``.
 
-    ``encoding`` is null when no encoding fits; ``columns`` is null then and for an empty file.
+    ``encoding`` is null when no encoding fits; ``columns`` is null then, for an empty file, and
+    where the header holds a code the encoding leaves unassigned.
     ``missing`` lists the required columns the header lacks. Header names are trimmed and free of
     a byte order mark.
     """
@@ -125,7 +130,7 @@ def file_quality_report(log: DataFrame, files: DataFrame) -> DataFrame:
     )
     reason = (
         F.when(F.col("empty"), "empty file")
-        .when(F.col("encoding").isNull(), "no encoding fits")
+        .when(F.col("columns").isNull(), "no encoding fits")
         .when(F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")))
         .when(F.col("malformed") > 0, F.concat(F.lit("rows with too many fields: "), F.col("malformed")))
         .when(F.coalesce("valid", F.lit(0)) == 0, "no valid data")
@@ -138,8 +143,12 @@ def file_quality_report(log: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def accepted(log: DataFrame, report: DataFrame) -> DataFrame:
-    """The log without the reported files."""
-    return log.join(report.select("file"), "file", "left_anti").select(*log.columns)
+    """The log without the reported files.
+
+    The report has at most one row per file of a folder the driver has listed, so it is broadcast;
+    the log is not shuffled by file.
+    """
+    return log.join(F.broadcast(report.select("file")), "file", "left_anti").select(*log.columns)
 
 
 def run_summary(report: DataFrame, files: DataFrame) -> DataFrame:
