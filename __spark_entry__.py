@@ -6,10 +6,14 @@ the ``embeddings`` and ``documents`` tables, always over all rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from trendlab.fixtures import (
     EMBEDDING_THRESHOLD, SEED, TERM_CAP, embedding_vectors, table, term_log,
 )
@@ -128,6 +132,12 @@ def _q_tokens(spark, sf):
     return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "token"))
 
 
+def _document_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of whole texts as a vocabulary that grows with the data."""
+    docs = table(spark, sf, "documents")
+    return logs.build_vocab(docs.select(F.explode(tokens(F.col("text"))).alias("term")))
+
+
 def _q_term_lengths(spark, sf):
     return _vocab(spark, sf).select(
         "term", word_count(F.col("term")).alias("words"), char_count(F.col("term")).alias("chars")
@@ -341,6 +351,8 @@ def queries() -> dict[str, Query]:
         "term_lengths": _q_term_lengths,
         "build_vocab": lambda s, d: _vocab(s, d).orderBy("term"),
         "vocab_stats": lambda s, d: _rounded(logs.vocab_stats(_vocab(s, d)), "mean_length"),
+        "document_vocab": _document_vocab,
+        "document_vocab_stats": lambda s, d: _rounded(logs.vocab_stats(_document_vocab(s, d)), "mean_length"),
         "best_rank": _best,
         "filter_terms": lambda s, d: matrix.filter_terms(_best(s, d), TERM_CAP),
         "filter_summary": _q_filter_summary,
@@ -394,12 +406,6 @@ _TERM = "p_name || ' ' || lower(p_brand) || ' ' || lower(p_type)"
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-def _groups(threshold: float) -> str:
-    return f"""
-        SELECT a.term, b.term AS neighbor, a.sim, a.pos
-        FROM (SELECT * FROM ranked WHERE sim >= {threshold}) a JOIN vocab b ON a.neighbor = b.term"""
-
-
 def _canonical(source: str, order: str) -> str:
     return f"""
         SELECT v.term,
@@ -442,6 +448,9 @@ _CTE: dict[str, tuple[str, list[str]]] = {
     "vectors": ("""
         SELECT term, CAST(CAST(list_transform(c, lambda x: x / n) AS FLOAT[]) AS DOUBLE[]) AS v
         FROM (SELECT term, c, sqrt(list_inner_product(c, c)) AS n FROM counts)""", ["counts"]),
+    "document_words": (f"""
+        SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda w: length(w) > 2))
+               AS term FROM documents""", []),
     "sims": ("""
         SELECT a.term, b.term AS neighbor, round(list_inner_product(a.v, b.v), 9) AS sim
         FROM vectors a, vectors b""", ["vectors"]),
@@ -559,6 +568,11 @@ def oracle_sql() -> dict[str, str]:
         "vocab_stats": _sql("""
             SELECT count(*) AS terms, round((SELECT avg(length(term)) FROM
                    (SELECT term FROM vocab ORDER BY term LIMIT 1000)), 6) AS mean_length FROM vocab""", "vocab"),
+        "document_vocab": _sql("SELECT term FROM document_words", "document_words"),
+        "document_vocab_stats": _sql("""
+            SELECT count(*) AS terms, round((SELECT avg(length(term)) FROM
+                   (SELECT term FROM document_words ORDER BY term LIMIT 1000)), 6) AS mean_length
+            FROM document_words""", "document_words"),
         "best_rank": _sql("SELECT * FROM best", "best"),
         "filter_terms": _sql("SELECT term, report_date, rank FROM best JOIN kept USING (term)", "kept"),
         "filter_summary": _sql("""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendlab import sources as src
-from trendlab.plans import build_trend_matrix, run_pipeline
+from trendlab.plans import build_trend_matrix, run_pipeline, verify_stored
 from trendlab.sources.files import list_files
 
 HEADER = "normalized_term,报告日期,搜索频率排名"
@@ -122,3 +122,18 @@ def test_csv_sinks(spark, tmp_path):
     mapped = spark.createDataFrame([("a", "2024-01-01", "b")], "term string, report_date string, mapped_term string")
     src.write_mapped(mapped, str(tmp_path / "m"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 1
+
+
+def test_verify_without_parts(spark, tmp_path):
+    got = {r.check: r.passed for r in verify_stored(spark, str(tmp_path)).collect()}
+    assert not got["has_matrix"] and not got["has_terms"] and not got["has_dates"] and not got["all"]
+
+
+def test_undecodable_header_is_reported(spark, tmp_path):
+    # A valid pair of GBK bytes without an assigned character, in a header.
+    (tmp_path / "odd.csv").write_bytes(b"\xa2\xa1,\xf8\xa1\xfe\xfe\n1,2\n")
+    (tmp_path / "good.csv").write_text(f"{HEADER}\na,2024-01-01,1\n")
+    files = src.inspect_files(spark, str(tmp_path), COLS.required())
+    log = src.read_term_log(spark, str(tmp_path), files=files)
+    reasons = {name(r.file): r.reason for r in src.file_quality_report(log, files).collect()}
+    assert reasons == {"odd.csv": "no encoding fits"}

@@ -8,7 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from trendlab.functions.arrays import bind
 
@@ -51,7 +51,7 @@ def model_embedder(load: Callable[[], Any], batch_size: int = 64) -> Embedder:
     ``batch_size``.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for terms in batches:

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from trendlab.functions.embedding import Embedder
 from trendlab.operators import logs, mapping as m, matrix as mx, neighbors
 from trendlab.sources import (
-    LogColumns, Matrix, accepted, file_quality_report, inspect_files, load_features, read_matrix, read_term_log, run_summary,
+    LogColumns, Matrix, accepted, file_quality_report, inspect_files, load_features, read_term_log, run_summary,
     write_change_log, write_mapped, write_mapping_sample, write_matrix, write_stats, write_vectors,
 )
 
@@ -76,10 +77,21 @@ def build_trend_matrix(
     return stored
 
 
+def _part_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def verify_stored(spark: SparkSession, path: str) -> DataFrame:
-    """Checks of a stored matrix."""
-    stored = read_matrix(spark, path)
-    return mx.verify(stored.long, stored.terms, stored.dates)
+    """Checks of a stored matrix. A part that is not there counts as empty and fails its check."""
+    long = _part_or_empty(spark, f"{path}/trend_long", "term string, report_date date, log_rank double")
+    terms = _part_or_empty(spark, f"{path}/terms", "term string")
+    dates = _part_or_empty(spark, f"{path}/dates", "report_date date")
+    return mx.verify(long, terms, dates)
 
 
 def embed_kept_terms(stored: Matrix, path: str, embedder: Embedder | None = None) -> None:
