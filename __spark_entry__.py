@@ -34,7 +34,7 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.best_rank(_clean(spark, sf))
+    return logs.log_best_rank(term_log(spark, sf))
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,9 +46,13 @@ def _best_and_dates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return best, matrix.date_axis(best)
 
 
-def _dense(spark: SparkSession, sf: str) -> DataFrame:
+def _dense_and_dates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     best, dates = _best_and_dates(spark, sf)
-    return matrix.densify(matrix.filter_terms(best, TERM_CAP), dates)
+    return matrix.densify(matrix.filter_terms(best, TERM_CAP), dates), dates
+
+
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense_and_dates(spark, sf)[0]
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +212,7 @@ def _q_apply_mapping(spark, sf):
 
 
 def _q_mapped_best_rank(spark, sf):
-    return mapping.mapped_best_rank(_clean(spark, sf), _mapping(spark, sf, "shortest"))
+    return mapping.mapped_best_rank(_best(spark, sf), _mapping(spark, sf, "shortest"))
 
 
 def _q_mapped_trend_matrix(spark, sf):
@@ -249,7 +253,7 @@ def _q_trend_matrix(spark, sf):
 
 
 def _q_pivot_matrix(spark, sf):
-    return matrix.pivot_matrix(_dense(spark, sf))
+    return matrix.pivot_matrix(*_dense_and_dates(spark, sf))
 
 
 def _q_matrix_stats(spark, sf):

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +59,24 @@ def test_knn_threshold_inside_equals_filter_outside(spark):
     assert joined(inside) == joined(outside)
 
 
+def test_executors_need_no_package(tmp_path):
+    """Only the driver can import the package; workers start elsewhere and without it."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from trendlab.operators.neighbors import embed_terms, knn_join
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+terms = spark.createDataFrame([("red shoe",), ("red shoes",), ("lamp",)], "term string")
+print("found", knn_join(embed_terms(terms), threshold=0.75).count())
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+    )
+    assert "found 5" in done.stdout, done.stderr[-2000:]
+
+
 def test_knn_of_nothing(spark):
     empty = spark.createDataFrame([], "term string, vector array<float>")
     assert knn_join(empty, 5).count() == 0

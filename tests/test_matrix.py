@@ -138,4 +138,11 @@ def test_mapping_before_or_after_reduction_is_the_same(spark, raw):
     mapping = spark.createDataFrame([("a", "c"), ("c", "b")], "term string, canonical string")
     clean = logs.clean_log(raw)
     plain = logs.best_rank(m.apply_mapping(clean, mapping), "mapped_term")
-    assert as_cells(m.mapped_best_rank(clean, mapping), "rank") == as_cells(plain, "rank")
+    reduced = m.mapped_best_rank(logs.log_best_rank(raw), mapping)
+    assert as_cells(reduced, "rank") == as_cells(plain, "rank")
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_best_ranks_of_a_raw_log(raw, keep):
+    chain = logs.best_rank(logs.clean_log(raw, keep))
+    assert as_cells(logs.log_best_rank(raw, keep), "rank") == as_cells(chain, "rank")

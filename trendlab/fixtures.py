@@ -26,7 +26,8 @@ def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     undated = (F.col("l_linenumber") == 7) & (F.col("l_tax") == 0)
     unranked = (F.col("l_returnflag") == "R") & (F.col("l_discount") == 0)
-    week = F.date_trunc("week", "l_shipdate").cast("date")
+    day = F.col("l_shipdate").cast("date")
+    week = F.date_sub(day, F.weekday(day))
     rank = F.floor(F.col("l_extendedprice") * 20)
     return (
         table(spark, sf_dir, "lineitem")

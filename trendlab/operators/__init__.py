@@ -1,2 +1,2 @@
-"""DataFrame-to-DataFrame operators. Nothing here runs a Spark action except ``pivot_matrix`` and
-``viewer_pivot``, whose output columns depend on the data."""
+"""DataFrame-to-DataFrame operators. Only ``pivot_matrix`` and ``viewer_pivot`` may run a Spark action,
+because the names of their output columns depend on the data."""

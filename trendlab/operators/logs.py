@@ -43,3 +43,13 @@ def best_rank(log: DataFrame, term_col: str = "term") -> DataFrame:
         .groupBy(F.col(term_col).alias("term"), "report_date")
         .agg(F.min("rank").alias("rank"))
     )
+
+
+def log_best_rank(log: DataFrame, keep_empty_dates: bool = False, term_col: str = "term") -> DataFrame:
+    """``best_rank(clean_log(log, keep_empty_dates))``, parsing each row once.
+
+    ``min`` skips bad ranks by itself, so cells without any valid rank are dropped after the
+    aggregation. A filter before it would parse every rank a second time.
+    """
+    best = best_rank(log.withColumn("rank", parse_rank(F.col("rank_raw"))), term_col)
+    return best if keep_empty_dates else best.where(F.col("rank").isNotNull())

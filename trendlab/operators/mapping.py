@@ -95,10 +95,10 @@ def apply_mapping(log: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def mapped_best_rank(log: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``best_rank(apply_mapping(log, mapping), "mapped_term")``, reduced before the lookup.
+def mapped_best_rank(best: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Best ranks by canonical term, from the best ranks by term.
 
-    A minimum of minima is the minimum, so only one row per (term, date) meets the mapping and no
-    hot term does.
+    A minimum of minima is the minimum, so this equals mapping every log row first. But only one row
+    per (term, date) meets the mapping, and no hot term does.
     """
-    return best_rank(apply_mapping(best_rank(log), mapping), "mapped_term")
+    return best_rank(apply_mapping(best, mapping), "mapped_term")

@@ -116,12 +116,14 @@ def cells(curve_df: DataFrame, dates: DataFrame, value: str = "log_rank") -> Dat
     return curve_df.select("term", F.inline(pairs).alias("report_date", value))
 
 
-def pivot_matrix(matrix: DataFrame, dates: list | None = None, value: str = "rank") -> DataFrame:
-    """Wide form: one row per term, one column per date.
+def pivot_matrix(matrix: DataFrame, dates: DataFrame | list, value: str = "rank") -> DataFrame:
+    """Wide form: one row per term, one column per date. For display, not for the main path.
 
-    Needs the dates to name the columns; Spark looks them up (at most
-    ``spark.sql.pivotMaxValues``) unless they are given. For display, not for the main path.
+    The dates name the columns, so a DataFrame of them is collected here; Spark allows at most
+    ``spark.sql.pivotMaxValues`` columns.
     """
+    if isinstance(dates, DataFrame):
+        dates = [r.report_date for r in dates.select("report_date").orderBy("report_date").collect()]
     return matrix.groupBy("term").pivot("report_date", dates).agg(F.min(value))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trendlab.functions import l2_normalize, ngram_embedder
 from trendlab.functions.embedding import Embedder
-from trendlab.operators.tiles import SIM_DIGITS, tile_top_k
+from trendlab.operators.tiles import tile_top_k
 
 # Rows of a block: at 384 dimensions a tile holds two blocks of 50 MB each in DOUBLE.
 MAX_BLOCK_ROWS = 16_384

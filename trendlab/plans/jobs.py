@@ -67,8 +67,9 @@ def build_trend_matrix(
     The matrix is one of canonical terms with ``mapping``, or with ``term_col="mapped_term"`` when
     the log is a stored mapped log.
     """
-    clean = logs.clean_log(log, keep_empty_dates, term_col)
-    ranks = logs.best_rank(clean, term_col) if mapping is None else m.mapped_best_rank(clean, mapping)
+    ranks = logs.log_best_rank(log, keep_empty_dates, term_col)
+    if mapping is not None:
+        ranks = m.mapped_best_rank(ranks, mapping)
     best = _stored(ranks, f"{out}/best_rank")
     dates = mx.date_axis(best, keep_empty_dates)
     stored = write_matrix(mx.trend_curves(best, dates, cap, fill), dates, out)
