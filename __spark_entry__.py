@@ -23,6 +23,16 @@ from trendlab.functions import (
 )
 from trendlab.operators import insights, logs, mapping, matrix, neighbors, recommend
 
+# The operators for training data and their pipeline are an optional part.
+try:
+    from trendlab.llm.queries import ORACLES as _LLM_ORACLES, QUERIES as _LLM_QUERIES
+except ImportError:
+    _LLM_ORACLES, _LLM_QUERIES = {}, {}
+try:
+    import corpus_pipeline as _pipeline
+except ImportError:
+    _pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -397,6 +407,8 @@ def queries() -> dict[str, Query]:
         "plot_rows": _q_plot_rows,
         "trend_compare": _q_trend_compare,
         "viewer_pivot": _q_viewer_pivot,
+        **_LLM_QUERIES,
+        **({"pipeline": _pipeline.run} if _pipeline else {}),
     }
 
 
@@ -688,4 +700,6 @@ def oracle_sql() -> dict[str, str]:
         "viewer_pivot": _sql(f"""
             SELECT report_date AS date, round(pow(10, log_rank) - 1, 3) AS "{SEED}"
             FROM cells WHERE term = '{SEED}' ORDER BY report_date DESC""", "cells"),
+        **_LLM_ORACLES,
+        **({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {}),
     }
