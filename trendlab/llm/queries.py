@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing
+from . import minhash, mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return secrets.report(found)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
@@ -22,9 +27,43 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_secret_ledger, op5_source_mixing)}
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_JWT = "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"
+
+
+def _spans_sql(kind: str, place: int, pattern: str, valid: str = "true") -> str:
+    """The matches of one kind: gaps and matches alternate, so running lengths place them."""
+    return f"""
+        SELECT doc_id, {place} AS place, '{kind}' AS kind,
+               CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i-1]]), 0) AS BIGINT) AS s,
+               hits[i] AS hit
+        FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits,
+                           string_split_regex(text, '{pattern}') AS gaps
+                    FROM documents)) WHERE {valid.replace('HIT', 'hits[i]')}"""
+
 
 ORACLES = {
+    "op4_secret_ledger": f"""
+        WITH found AS (
+            {_spans_sql('assign', 0, _ASSIGN, f"length(regexp_extract(HIT, '{_ASSIGN}', 2)) >= 6")}
+            UNION ALL {_spans_sql('access', 1, 'AKIA[A-Z0-9]+', 'length(HIT) >= 20')}
+            UNION ALL {_spans_sql('hex', 2, '[0-9a-f]+', 'length(HIT) >= 24')}
+            UNION ALL {_spans_sql('github', 3, 'gh[pousr]_[A-Za-z0-9]{36,}')}
+            UNION ALL {_spans_sql('jwt', 4, _JWT)}
+            UNION ALL {_spans_sql('pem', 5, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----')}),
+        lists AS (
+            SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+                   count(*) FILTER (place = 2) AS n_hex,
+                   string_agg(kind || ':' || s || ':' || (s + length(hit)), ',' ORDER BY s, place)
+                       FILTER (place < 3) AS base,
+                   string_agg(kind || ':' || s || ':' || (s + length(hit)), ',' ORDER BY s, place) AS spans
+            FROM found GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN lists USING (doc_id)""",
     "op1_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(
