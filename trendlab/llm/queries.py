@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, mixing, secrets
+from . import codes, language, minhash, mixing, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     return secrets.report(found)
@@ -27,7 +40,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_secret_ledger, op5_source_mixing)}
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return codes.encoded_documents(_table(spark, sf_dir, "documents"), path, f"codes-{uuid.uuid4().hex}", end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_token_counts, op3_language_id, op4_secret_ledger, op5_source_mixing, op9_token_codes,
+)}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _JWT = "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"
