@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import codes, language, minhash, mixing, secrets, token_counts
+from . import codes, language, minhash, mixing, pieces, pii, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +40,24 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    return pii.report(found)
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_and_check(_table(spark, sf_dir, "documents"), path)
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return codes.encoded_documents(_table(spark, sf_dir, "documents"), path, f"codes-{uuid.uuid4().hex}", end_id=1)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_token_counts, op3_language_id, op4_secret_ledger, op5_source_mixing, op9_token_codes,
+    op1_minhash_near_dedup, op2_token_counts, op3_language_id, op4_secret_ledger, op5_source_mixing,
+    op7_personal_data, op8_sentence_pieces, op9_token_codes,
 )}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
