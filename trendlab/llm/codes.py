@@ -246,7 +246,7 @@ def crc32_combine(a: int, b: int, length: int) -> int:
 
 
 @F.udf(T.LongType())
-def _whole_crc(pieces) -> int:
+def _whole_crc(pieces):
     crc = 0
     for piece in pieces:
         crc = crc32_combine(crc, piece["crc"], 4 * piece["n"])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: What a broadcast may hold at most; the row counts are measured before a side is broadcast.
@@ -67,3 +70,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("a"), F.expr("bit_xor(xxhash64(a, b))")).first())
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal ``by`` (integers), across the borders of batches."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in by], axis=1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(keys[a].tolist())
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def rows_of(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
+    """A list column whose rows are all of one length as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(dtype).reshape(len(column), -1)

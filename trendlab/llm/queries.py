@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import codes, language, minhash, mixing, pieces, pii, secrets, token_counts
+from . import caps, codes, language, minhash, mixing, pieces, pii, secrets, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = pii.find_personal_data(_table(spark, sf_dir, "documents"))
     return pii.report(found)
@@ -55,9 +59,13 @@ def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encoded_documents(_table(spark, sf_dir, "documents"), path, f"codes-{uuid.uuid4().hex}", end_id=1)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_token_counts, op3_language_id, op4_secret_ledger, op5_source_mixing,
-    op7_personal_data, op8_sentence_pieces, op9_token_codes,
+    op6_top_k, op7_personal_data, op8_sentence_pieces, op9_token_codes, op10_embedding_near_dedup,
 )}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,4 +125,33 @@ ORACLES = {
                least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id,
                s.doc_id <= coalesce(min(r.other), s.doc_id) AS kept
         FROM sets s LEFT JOIN reach r ON s.doc_id = r.node GROUP BY s.doc_id, s.s""",
+    "op6_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+               vec_id, score
+        FROM scored QUALIFY rank <= 5""",
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (
+            SELECT a AS node, b AS other FROM links
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+        SELECT t.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+               least(t.vec_id, coalesce(low, t.vec_id)) AS component_id,
+               t.vec_id <= coalesce(low, t.vec_id) AS kept
+        FROM embeddings t LEFT JOIN degree ON t.vec_id = a LEFT JOIN lowest ON t.vec_id = node""",
 }
