@@ -35,6 +35,8 @@ class Code(NamedTuple):
     rotation: np.ndarray
     books: list[np.ndarray]  # per segment: codewords x coordinates
     threshold: float
+    #: Caps that a vector is decoded to at least; it lowers its own threshold until there are as many.
+    least: int
 
 
 def make_code(width: int, n: int, cosine: float, seed: int = 5) -> Code:
@@ -69,33 +71,43 @@ def make_code(width: int, n: int, cosine: float, seed: int = 5) -> Code:
     picks = [book[rng.integers(0, size, 4000)] for book in books]
     products = sum(trial[:, a:b] @ pick.T for a, b, pick in zip(edges[:-1], edges[1:], picks))
     threshold = float(np.quantile(products, 1 - share)) if share > 1e-5 else tau / width**0.5
-    return Code(width, rotation, books, threshold)
+    return Code(width, rotation, books, threshold, min(int(np.ceil(SHARED / p)), size**segments))
 
 
 def list_decode(code: Code, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(rows, caps)``: every direction whose product with a unit vector reaches the threshold.
+    """``(rows, caps)``: every direction whose product with a unit vector reaches the vector's threshold.
 
-    A vector that no cap holds goes to the cap of its nearest direction.
+    That is the code's, or a lower one where it would give fewer than ``code.least`` caps: a structured
+    code covers some places of the sphere less than others, and neighbours there need as many caps.
     """
     turned = units @ code.rotation
     at, products = 0, []
     for book in code.books:
         products.append(turned[:, at : at + book.shape[1]] @ book.T)
         at += book.shape[1]
+    threshold = np.full(len(units), code.threshold)
+    todo, found = np.arange(len(units)), []
+    while len(todo):
+        rows, caps = _exceeding([p[todo] for p in products], threshold[todo])
+        enough = np.bincount(rows, minlength=len(todo)) >= code.least
+        done = enough[rows]
+        found.append((todo[rows[done]], caps[done]))
+        todo = todo[~enough]
+        threshold[todo] -= 0.05
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _exceeding(products: list[np.ndarray], threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(threshold)
     best = np.stack([p.max(axis=1) for p in products])
-    after = np.concatenate((np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(units)))))
-    rows, caps, sums = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units))
+    after = np.concatenate((np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, n))))
+    rows, caps, sums = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
     for segment, product in enumerate(products):
         sums = sums[:, None] + product[rows]
-        keep = sums + after[segment][rows][:, None] >= code.threshold
-        which, word = np.nonzero(keep)
+        which, word = np.nonzero(sums + after[segment][rows][:, None] >= threshold[rows][:, None])
         rows, caps, sums = rows[which], caps[which] * product.shape[1] + word, sums[which, word]
-    missing = np.setdiff1d(np.arange(len(units)), rows)
-    if len(missing):
-        nearest = np.zeros(len(missing), np.int64)
-        for product in products:
-            nearest = nearest * product.shape[1] + product[missing].argmax(axis=1)
-        rows, caps = np.concatenate((rows, missing)), np.concatenate((caps, nearest))
     return rows, caps
 
 
