@@ -6,9 +6,11 @@ all places are shifted round the circle by ``k``. Coordinates are cut into bands
 a whole band are candidates, and a pair counts only after its full shingle sets have been compared.
 
 Texts, not rows, are compared: rows with the same text are one node, whatever their number. Within a
-band's bucket every text is compared with the bucket's leader first, which is linear in the bucket;
-only pairs that are still in different components after that are compared one by one, so a group of
-thousands of near copies never becomes all its pairs and no link between components is lost.
+band's bucket every text is compared with the bucket's leader first, which is linear in the bucket.
+Buckets that still hold several components are then compared in blocks of bounded size: a task counts
+the common shingles of all texts of two blocks as a matrix product over their full sets and hands on
+only the links that join components. So a group of thousands of near copies never becomes rows of
+pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import components, small, stored
 BANDS, ROWS = 32, 5
 #: Shingles whose coordinates are computed at once; keeps the work arrays in the processor's cache.
 _BLOCK = 1024
+#: Shingles of a block of texts, and the least that a text counts for: blocks of 1,024 texts at most.
+BLOCK_SHINGLES, LEAST_WEIGHT = 1 << 18, 256
 
 _ODD = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -138,6 +142,114 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return joined.mapInArrow(_confirm(width, percent), "a binary, b binary")
 
 
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sets = [shingle_hashes(t.as_py(), width).view(np.int64) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"]
+                )
+
+    return run
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    held = shared[column]
+    owner, column = owner[held], place[column[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[owner[a:b], column[a:b] - start] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _joining_links(keys: list, roots: list, sets: list, percent: int) -> list[tuple]:
+    """Links between the components of a block, as few as join all of them that are linked."""
+    sizes = np.array([len(s) for s in sets])
+    _, root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+    if len(sets) < 2 or root.max() == 0:
+        return []
+    both = common_counts(sets)
+    linked = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    linked &= root[:, None] < root[None, :]
+    found, parent = [], list(range(int(root.max()) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = top(root[i]), top(root[j])
+        if x != y:
+            parent[y] = x
+            found.append((keys[i], keys[j]))
+    return found
+
+
+def _compare_blocks(percent: int):
+    """Links of runs of rows with equal ``bucket, i, j``; rows come sorted by these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        roots: list = []
+        sets: list = []
+        now = None
+
+        def links() -> pa.RecordBatch:
+            found = _joining_links(keys, roots, sets, percent)
+            for held in (keys, roots, sets):
+                held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"]
+            )
+
+        for batch in batches:
+            names = ("bucket", "i", "j", "key", "root", "shingles")
+            for bucket, i, j, key, root, shingles in zip(*(batch.column(c) for c in names)):
+                group = (bucket.as_py(), i.as_py(), j.as_py())
+                if group != now:
+                    if keys:
+                        yield links()
+                    now = group
+                keys.append(key.as_py())
+                roots.append(root.as_py())
+                sets.append(np.array(shingles.values))
+        if keys:
+            yield links()
+
+    return run
+
+
+def _links_across(member: DataFrame, texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between texts that share a bucket and are in different components so far."""
+    grouped = member.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "bucket", "key", F.greatest("n", F.lit(LEAST_WEIGHT)).alias("n"), F.coalesce("root", "key").alias("root")
+    )
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"))
+    mixed = mixed.filter("low != high").select("bucket", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    grouped = stored(grouped.drop("n").join(mixed, "bucket"), "mixed")
+    needed = small(stored(grouped.select("key").distinct(), "keys"), 64)
+    sets = texts.join(needed, "key", "left_semi").mapInArrow(_sets(width), "key binary, shingles array<long>")
+    # A text of block x takes part in the comparisons of x with every block: (x, y) or (y, x).
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = grouped.withColumn("x", block).withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "key", "root")
+    dealt = dealt.join(sets, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(_compare_blocks(percent), "a binary, b binary")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -185,22 +297,7 @@ def near_duplicates(
     texts = stored(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")
     edges = stored(_links(first, texts, width, percent), "links")
 
-    # Pairs that share a bucket, but are in different components after the first comparisons.
-    groups = components(edges)
-    grouped = member.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "bucket", "key", "n", F.coalesce("root", "key").alias("root")
-    )
-    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    grouped = grouped.join(mixed.filter("low != high").select("bucket"), "bucket", "left_semi")
-    one = grouped.select("bucket", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    two = grouped.select("bucket", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = (
-        one.join(two, "bucket").filter("root_a < root_b").filter(similar_sizes("n_a", "n_b"))
-        .select("a", "b").distinct()
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        .join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = stored(_links(rest, texts, width, percent), "links")
+    more = stored(_links_across(member, texts, components(edges), width, percent), "links")
     groups = components(edges.union(more)).select(F.col("node").alias("key"), "root")
 
     rows_ = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
