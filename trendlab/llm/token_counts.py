@@ -13,16 +13,21 @@ so that a frequent word is encoded once per worker and not once per occurrence.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .words import LETTERS, NUMBERS, Remembered, is_plain
+
 #: Characters of a window and of the first overlap; longer texts than a window go by windows.
 WINDOW, OVERLAP = 1 << 16, 1 << 10
 #: Pieces a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: White space to Python, but not to the tokenizer.
+_SEPARATORS = re.compile("[\x1c-\x1f\x85]")
 #: Stands for a piece that begins or ends with white space, where a cut is not stable.
 _UNSTABLE = 1 << 40
 
@@ -72,42 +77,70 @@ def count_windows(tokenizer, text: str, window: int = WINDOW, overlap: int = OVE
 
 
 class PieceCounts:
-    """Token counts of texts through counts of their pieces, remembered."""
+    """Token counts of texts through counts of their pieces, remembered.
 
-    def __init__(self, tokenizer, window: int = WINDOW, overlap: int = OVERLAP, remembered: int = REMEMBERED):
-        self.tokenizer, self.window, self.overlap, self.remembered = tokenizer, window, overlap, remembered
-        self.counts: dict[str, int] = {}
+    A piece is what lies between two stable positions, without the space before it. A plain piece is
+    cut into the library's pre-tokens, which pieces share; these are encoded by the library, words
+    many in a row: a token that holds the space before a word begins that word's tokens. Other pieces
+    are given to the library as they are.
+    """
 
-    def _encoded(self, texts: list[str]) -> list[int]:
+    # Fixed value: the pattern by which byte-level vocabularies cut texts.
+    CUT = re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+    )
+
+    def __init__(self, tokenizer, window: int = WINDOW, overlap: int = OVERLAP, remembered: int = REMEMBERED):
+        self.tokenizer, self.window, self.overlap = tokenizer, window, overlap
+        self.begins = np.array([
+            (tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())
+        ])
+        self.cuts = Remembered(self._of_cuts, remembered)
+        self.pieces = Remembered(self._of_pieces, remembered)
+
+    def _whole(self, texts: list[str]) -> list[int]:
         out: list[int] = []
-        for i in range(0, len(texts), 10_000):
-            encoded = self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)
-            out += map(len, encoded)
+        for i in range(0, len(texts), 1000):
+            out += map(len, self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False))
         return out
 
+    def _of_cuts(self, cuts: list[str]) -> list[int]:
+        words = [c for c in cuts if c[0] == " " and c[1:].isalpha()]
+        counts: list[int] = []
+        for i in range(0, len(words), 500):
+            few = words[i : i + 500]
+            ids = self.tokenizer.encode_batch_fast(["".join(few)], add_special_tokens=False)[0].ids
+            starts = np.flatnonzero(self.begins[np.array(ids)])
+            if len(starts) != len(few):
+                raise ValueError("the vocabulary does not mark the beginnings of words as expected")
+            counts += np.diff(np.append(starts, len(ids))).tolist()
+        of_words = dict(zip(words, counts))
+        rest = [c for c in cuts if c not in of_words]
+        of_words.update(zip(rest, self._whole(rest)))
+        return [of_words[c] for c in cuts]
+
+    def _of_pieces(self, pieces: list[str]) -> list[int]:
+        """Counts of pieces with a space before them."""
+        cut = [self.CUT.findall(" " + p) if p and is_plain(p) and not _SEPARATORS.search(p) else None for p in pieces]
+        known = iter(self.cuts.of([cs for cs in cut if cs is not None]))
+        other = iter(self._whole([" " + p for p, cs in zip(pieces, cut) if cs is None]))
+        counts = [next(other) if cs is None else sum(next(known)) for cs in cut]
+        return [_UNSTABLE if not p or p[0].isspace() or p[-1].isspace() else n for p, n in zip(pieces, counts)]
+
     def __call__(self, texts: list[str]) -> list[int]:
         split = {i: t.split(" ") for i, t in enumerate(texts) if len(t) <= self.window}
-        if len(self.counts) > self.remembered:
-            self.counts.clear()
-        new: set[str] = set()
-        for pieces in split.values():
-            new.update(pieces)
-        new.difference_update(self.counts)
-        fresh = list(new)
-        for piece, n in zip(fresh, self._encoded([" " + p for p in fresh])):
-            self.counts[piece] = _UNSTABLE if not piece or piece[0].isspace() or piece[-1].isspace() else n
-        firsts = self._encoded([pieces[0] for pieces in split.values()])
-        count = self.counts.__getitem__
+        firsts = self._whole([pieces[0] for pieces in split.values()])
+        counts = self.pieces.of([pieces[1:] for pieces in split.values()])
         out = [0] * len(texts)
-        for (i, pieces), first in zip(split.items(), firsts):
-            edge = pieces[0]
-            stable = len(pieces) == 1 or (edge and not edge[-1].isspace())
-            n = sum(map(count, pieces)) - count(edge) + first
-            rest_stable = n < _UNSTABLE if count(edge) < _UNSTABLE else sum(map(count, pieces[1:])) < _UNSTABLE
-            if stable and rest_stable:
-                out[i] = n
+        late = []
+        for (i, pieces), first, rest in zip(split.items(), firsts, counts):
+            edge, n = pieces[0], sum(rest)
+            if n < _UNSTABLE and (len(pieces) == 1 or (edge and not edge[-1].isspace())):
+                out[i] = first + n
             else:
-                out[i] = self._encoded([texts[i]])[0]
+                late.append(i)
+        for i, n in zip(late, self._whole([texts[i] for i in late])):
+            out[i] = n
         for i, text in enumerate(texts):
             if i not in split:
                 out[i] = count_windows(self.tokenizer, text, self.window, self.overlap)
