@@ -13,6 +13,7 @@ the next), rows of ``document`` say where each document lies.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import shared_dir
+from .common import shared_dir, stored
 from .token_counts import load_tokenizer
+from .words import LETTERS, NUMBERS, Remembered, is_plain
 
 #: Bits of a bitmap between two entries of its rank directory.
 _BLOCK = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Separators that Python's split would drop, but the tokenizer reads as text.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -106,33 +108,50 @@ class WordIds:
     """Ids of texts through the ids of their words, remembered as bytes.
 
     White space ends a word for this tokenizer and is dropped, so a text's ids are those of its words
-    in turn; the library encodes each distinct word.
+    in turn. A plain word is cut into the library's pre-tokens, which words share; these are encoded
+    by the library, many in a row: the last piece of each is marked as the end of a word. Other words
+    are given to the library as they are.
     """
 
-    def __init__(self, tokenizer, remembered: int = REMEMBERED):
-        self.tokenizer, self.remembered = tokenizer, remembered
-        self.words: dict[str, bytes] = {}
+    # Fixed value: the pattern by which the vocabulary's file cuts lower-cased words.
+    CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
 
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 10_000):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False):
+    def __init__(self, tokenizer, remembered: int = REMEMBERED):
+        self.tokenizer = tokenizer
+        self.ends = np.array([
+            (tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())
+        ])
+        self.cuts = Remembered(self._of_cuts, remembered)
+        self.words = Remembered(self._of_words, remembered)
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 1000):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
+    def _of_cuts(self, cuts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(cuts), 500):
+            few = cuts[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(few)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(few):
+                raise ValueError("the vocabulary does not mark the ends of words as expected")
+            data, start = ids.tobytes(), 0
+            for stop in stops:
+                yield data[start:stop]
+                start = stop
+
+    def _of_words(self, words: list[str]) -> Iterator[bytes]:
+        cut = [self.CUT.findall(w.lower()) if is_plain(w) else None for w in words]
+        ids = iter(self.cuts.of([cs for cs in cut if cs is not None]))
+        other = iter(list(self._whole([w for w, cs in zip(words, cut) if cs is None])))
+        return (next(other) if cs is None else b"".join(next(ids)) for cs in cut)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.remembered:
-            self.words.clear()
         split = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words or ())
-        new.difference_update(self.words)
-        fresh = list(new)
-        self.words.update(zip(fresh, self._encoded(fresh)))
-        ids = self.words.__getitem__
-        return [
-            next(self._encoded([text])) if words is None else b"".join(map(ids, words))
-            for text, words in zip(texts, split)
-        ]
+        ids = iter(self.words.of([words for words in split if words is not None]))
+        other = iter(list(self._whole([t for t, words in zip(texts, split) if words is None])))
+        return [next(other) if words is None else b"".join(next(ids)) for words in split]
 
 
 _ROW = pa.schema([
@@ -267,12 +286,14 @@ def read_codes(spark, path: str) -> DataFrame:
     pieces = segments.select("part", "place", "data", "docs", "lengths").mapInArrow(
         _pieces, "part int, doc long, place long, n long, crc long"
     )
-    whole = pieces.groupBy("part", "doc").agg(
+    whole = stored(pieces.groupBy("part", "doc").agg(
         F.sum("n").alias("n_read"),
         F.array_sort(F.collect_list(F.struct("place", "n", "crc"))).alias("pieces"),
-    )
-    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(_whole_crc("pieces"))
-    whole = whole.select("part", F.col("doc").alias("place"), "n_read", crc.alias("ids_crc32"))
+    ), "pieces")
+    # Only documents that go over several segments need their checksums combined.
+    one = whole.filter("size(pieces) = 1").select("part", "doc", "n_read", F.col("pieces")[0]["crc"].alias("ids_crc32"))
+    more = whole.filter("size(pieces) > 1").select("part", "doc", "n_read", _whole_crc("pieces").alias("ids_crc32"))
+    whole = one.union(more).withColumnRenamed("doc", "place")
     return (
         documents.join(whole, ["part", "place"], "left").join(parts, "part")
         .select("doc_id", (F.col("base") + F.col("first")).alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")
