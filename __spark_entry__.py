@@ -36,6 +36,9 @@ except ImportError:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Terms of the viewer; they occur in every size of the test data, and the filter drops some.
+VIEWED = [SEED, "blue gizmo brand#19 medium", "cold anvil brand#20 large", "cold ring brand#2 promo"]
+
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -263,7 +266,17 @@ def _q_trend_matrix(spark, sf):
 
 
 def _q_pivot_matrix(spark, sf):
-    return matrix.pivot_matrix(*_dense_and_dates(spark, sf))
+    """The wide matrix, turned back into cells so that column names and values are both compared.
+
+    Columns are the weeks of the calendar that the tables span; cells of weeks off the axis are null.
+    """
+    day = F.col("l_shipdate").cast("date")
+    span = table(spark, sf, "lineitem").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    weeks = span.select(F.explode(F.expr("sequence(date_sub(first, weekday(first)), last, interval 1 week)")))
+    columns = [r[0] for r in weeks.collect()]
+    wide = matrix.pivot_matrix(_dense(spark, sf), columns)
+    cells = wide.unpivot("term", [F.col(f"`{c}`") for c in map(str, columns)], "report_date", "rank")
+    return cells.where("rank is not null").withColumn("report_date", F.col("report_date").cast("date"))
 
 
 def _q_matrix_stats(spark, sf):
@@ -288,7 +301,13 @@ def _q_duplicate_terms(spark, sf):
 def _q_load_features(spark, sf):
     vectors = neighbors.embed_terms(_vocab(spark, sf))
     joined = recommend.load_features(_curves(spark, sf), vectors)
-    return joined.select("term", F.size("vector").alias("width"), F.size("curve").alias("dates"))
+    return joined.select(
+        "term", F.size("vector").alias("width"), F.size("curve").alias("dates"),
+        F.round(F.aggregate("curve", F.lit(0.0), lambda a, x: a + x), 4).alias("curve_sum"),
+        F.round(F.element_at("curve", 1), 6).alias("first_value"),
+        F.round(F.element_at("curve", -1), 6).alias("last_value"),
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"),
+    )
 
 
 def _q_recommend(spark, sf):
@@ -353,6 +372,13 @@ def _q_viewer_pivot(spark, sf):
     return insights.viewer_pivot(rows, [SEED])
 
 
+def _q_viewer_pivot_many(spark, sf):
+    curves, dates = _curves_and_dates(spark, sf)
+    chosen = spark.createDataFrame([(t,) for t in VIEWED], "term string")
+    rows = _rounded(insights.plot_rows(curves, dates, chosen), "rank", digits=3)
+    return insights.viewer_pivot(rows, VIEWED)
+
+
 def queries() -> dict[str, Query]:
     return {
         "parse_rank": _q_parse_rank,
@@ -407,6 +433,7 @@ def queries() -> dict[str, Query]:
         "plot_rows": _q_plot_rows,
         "trend_compare": _q_trend_compare,
         "viewer_pivot": _q_viewer_pivot,
+        "viewer_pivot_many": _q_viewer_pivot_many,
         **_LLM_QUERIES,
         **({"pipeline": _pipeline.run} if _pipeline else {}),
     }
@@ -581,14 +608,12 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT term, CAST({_words('term')} AS INT) AS words, CAST(length(term) AS INT) AS chars FROM vocab",
             "vocab"),
         "build_vocab": _sql("SELECT term FROM vocab ORDER BY term", "vocab"),
-        "vocab_stats": _sql("""
-            SELECT count(*) AS terms, round((SELECT avg(length(term)) FROM
-                   (SELECT term FROM vocab ORDER BY term LIMIT 1000)), 6) AS mean_length FROM vocab""", "vocab"),
+        "vocab_stats": _sql(
+            "SELECT count(*) AS terms, round(avg(length(term)), 6) AS mean_length FROM vocab", "vocab"),
         "document_vocab": _sql("SELECT term FROM document_words", "document_words"),
-        "document_vocab_stats": _sql("""
-            SELECT count(*) AS terms, round((SELECT avg(length(term)) FROM
-                   (SELECT term FROM document_words ORDER BY term LIMIT 1000)), 6) AS mean_length
-            FROM document_words""", "document_words"),
+        "document_vocab_stats": _sql(
+            "SELECT count(*) AS terms, round(avg(length(term)), 6) AS mean_length FROM document_words",
+            "document_words"),
         "best_rank": _sql("SELECT * FROM best", "best"),
         "filter_terms": _sql("SELECT term, report_date, rank FROM best JOIN kept USING (term)", "kept"),
         "filter_summary": _sql("""
@@ -600,7 +625,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY report_date) - 1 AS INT) AS at,
                    round(log_rank, 6) AS log_rank FROM cells""", "cells"),
         "trend_matrix": _sql(cells, "cells"),
-        "pivot_matrix": _sql("FROM (PIVOT dense ON report_date USING min(rank) GROUP BY term)", "dense"),
+        "pivot_matrix": _sql("SELECT term, report_date, rank FROM dense", "dense"),
         "matrix_stats": _sql("""
             SELECT count(DISTINCT term) AS n_terms, count(DISTINCT report_date) AS n_dates,
                    round(min(log_rank), 6) AS min_value, round(max(log_rank), 6) AS max_value,
@@ -662,8 +687,12 @@ def oracle_sql() -> dict[str, str]:
             FROM k CROSS JOIN dates d
             LEFT JOIN mapped_best b ON b.term = k.term AND b.report_date = d.report_date""", "mapped_best", "dates"),
         "load_features": _sql("""
-            SELECT term, 64 AS width, CAST((SELECT count(*) FROM dates) AS INT) AS dates
-            FROM kept JOIN vocab USING (term)""", "kept", "dates", "vocab"),
+            , c AS (SELECT term, round(sum(log_rank), 4) AS curve_sum,
+                           round(arg_min(log_rank, report_date), 6) AS first_value,
+                           round(arg_max(log_rank, report_date), 6) AS last_value FROM cells GROUP BY term)
+            SELECT term, 64 AS width, CAST((SELECT count(*) FROM dates) AS INT) AS dates,
+                   curve_sum, first_value, last_value, round(list_sum(v), 4) AS vector_sum
+            FROM kept JOIN vectors USING (term) JOIN c USING (term)""", "kept", "dates", "vectors", "cells"),
         "recommend": _recommend_sql(0.6, 0.4, 20),
         "recommend_equal_weights": _recommend_sql(0.5, 0.5, 50),
         "semantic_neighbors": _sql("SELECT pos, term, round(score, 6) AS score FROM near", "near"),
@@ -700,6 +729,11 @@ def oracle_sql() -> dict[str, str]:
         "viewer_pivot": _sql(f"""
             SELECT report_date AS date, round(pow(10, log_rank) - 1, 3) AS "{SEED}"
             FROM cells WHERE term = '{SEED}' ORDER BY report_date DESC""", "cells"),
+        "viewer_pivot_many": _sql(f"""
+            SELECT report_date AS date, {', '.join(
+                f"max(CASE WHEN term = '{t}' THEN round(pow(10, log_rank) - 1, 3) END) AS " + f'"{t}"' for t in VIEWED)}
+            FROM cells WHERE term IN ({', '.join(f"'{t}'" for t in VIEWED)})
+            GROUP BY report_date ORDER BY report_date DESC""", "cells"),
         **_LLM_ORACLES,
         **({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {}),
     }

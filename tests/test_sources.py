@@ -1,9 +1,11 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from trendlab import sources as src
+from trendlab.functions.embedding import model_embedder
 from trendlab.plans import build_trend_matrix, run_pipeline, verify_stored
 from trendlab.sources.files import list_files
 
@@ -57,22 +59,26 @@ def test_read_and_report(spark, folder):
     assert ("gbk.csv", "运动鞋", "2024-01-08", "5") in rows
     assert ("padded.csv", "red shoes", "2024-01-01", "3") in rows
     assert "extra" in log.columns and log.where("extra = 'x'").count() == 1
-    assert not [r for r in rows if r[0] == "missing.csv"]
+    assert ("missing.csv", "lost", "2024-01-01", None) in rows
 
     files = src.inspect_files(spark, folder, COLS.required())
-    report = src.file_quality_report(log, files)
-    reasons = {name(r.file): r.reason for r in report.collect()}
+    report = src.file_quality_report(log, files, COLS.required())
+    reasons = {name(r.file): r.reason for r in report.collect() if r.reason}
     assert reasons == {
         "missing.csv": "missing columns: 搜索频率排名",
-        "ragged.csv": "rows with too many fields: 1",
+        "ragged.csv": "malformed rows: 1",
         "invalid.csv": "no valid data",
         "empty.csv": "empty file",
         "binary.csv": "no encoding fits",
     }
     assert src.run_summary(report, files).first().asDict() == {"ok": 4, "total": 9}
-    kept = src.accepted(log, report)
-    assert {name(r.file) for r in kept.collect()} == {"bom.csv", "gbk.csv", "padded.csv", "short.csv"}
-    assert kept.columns == log.columns
+    counts = {name(r.file): (r.undated, r.unranked) for r in report.collect()}
+    assert counts["short.csv"] == (1, 1) and counts["invalid.csv"] == (1, 1) and counts["bom.csv"] == (0, 1)
+    whole = {"bom.csv", "gbk.csv", "padded.csv", "short.csv", "invalid.csv"}
+    for stage, more in (("matrix", set()), ("mapped_log", {"missing.csv"}), ("vocabulary", {"missing.csv"})):
+        kept = src.accepted(log, report, stage)
+        assert {name(r.file) for r in kept.collect()} == whole | more
+        assert kept.columns == log.columns
 
 
 def test_na_values(spark, folder):
@@ -83,7 +89,8 @@ def test_na_values(spark, folder):
 
 def test_term_column_is_read_alone(spark, folder):
     plan = src.read_term_log(spark, folder).select("term")._jdf.queryExecution().executedPlan().toString()
-    assert "normalized_term" in plan and "搜索频率排名" not in plan
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert read and all(fields.count(":") == 1 for fields in read)
 
 
 def test_no_usable_report(spark, tmp_path):
@@ -98,7 +105,7 @@ def test_pipeline(spark, folder, tmp_path, rule):
     res = run_pipeline(spark, folder, out, rule=rule)
     assert {r.check: r.passed for r in res.checks.collect()}["all"] is True
     mapping = {r.term: r.canonical for r in res.mapping.collect()}
-    assert "lost" not in mapping and "odd" not in mapping and "运动鞋" in mapping
+    assert {"lost", "x", "y", "NA", "运动鞋"} <= set(mapping) and "odd" not in mapping
     terms = {r.term for r in res.matrix.terms.collect()}
     assert terms == {mapping[t] for t in ("red, shoe", "null", "red shoes", "运动鞋", "fine")}
     assert res.matrix.long.count() == len(terms) * 3
@@ -112,7 +119,7 @@ def test_pipeline(spark, folder, tmp_path, rule):
     assert json.loads(spark.read.text(f"{out}/run_summary").first().value) == {"ok": 4, "total": 9}
     mapped = spark.read.parquet(f"{out}/mapped_log")
     assert {"mapped_term", "term", "rank_raw", "extra", "report_date"} <= set(mapped.columns)
-    assert mapped.count() == 7
+    assert mapped.count() == 10
     again = build_trend_matrix(mapped, str(tmp_path / "again"), term_col="mapped_term")
     curves = lambda stored: sorted(map(tuple, stored.curves.collect()))
     assert curves(again) == curves(res.matrix)
@@ -135,5 +142,67 @@ def test_undecodable_header_is_reported(spark, tmp_path):
     (tmp_path / "good.csv").write_text(f"{HEADER}\na,2024-01-01,1\n")
     files = src.inspect_files(spark, str(tmp_path), COLS.required())
     log = src.read_term_log(spark, str(tmp_path), files=files)
-    reasons = {name(r.file): r.reason for r in src.file_quality_report(log, files).collect()}
+    reasons = {name(r.file): r.reason for r in src.file_quality_report(log, files, COLS.required()).collect()}
     assert reasons == {"odd.csv": "no encoding fits"}
+
+
+def write_reports(tmp_path, **texts):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for stem, text in texts.items():
+        (folder / f"{stem}.csv").write_text(text)
+    return str(folder), str(tmp_path / "out")
+
+
+def test_dates_with_bad_ranks_only_are_kept_on_request(spark, tmp_path):
+    folder, out = write_reports(
+        tmp_path, a=f"{HEADER}\nred shoe,2024-01-01,5\n", b=f"{HEADER}\nred shoe,2024-01-08,n/a\nlamp,2024-01-08,none\n"
+    )
+    dates = lambda keep, to: {str(r.report_date) for r in run_pipeline(spark, folder, to, keep_empty_dates=keep).matrix.dates.collect()}
+    assert dates(False, f"{out}1") == {"2024-01-01"} and dates(True, f"{out}2") == {"2024-01-01", "2024-01-08"}
+    assert {r.term for r in spark.read.parquet(f"{out}1/vocabulary").collect()} == {"red shoe", "lamp"}
+
+
+def test_clashing_and_repeated_names(spark, tmp_path):
+    folder, out = write_reports(
+        tmp_path,
+        a=f"term,{HEADER},file,x,x,,Malformed\nown,red shoe,2024-01-01,5,f,1,2,3,m\n",
+        b=f"{HEADER}\nlamp,2024-01-01,7\n",
+    )
+    log = src.read_term_log(spark, folder)
+    row = log.where("term = 'red shoe'").first().asDict()
+    assert {k: row[k] for k in ("term_2", "file_2", "x", "x_2", "column_8", "Malformed_2")} == {
+        "term_2": "own", "file_2": "f", "x": "1", "x_2": "2", "column_8": "3", "Malformed_2": "m",
+    }
+    assert run_pipeline(spark, folder, out).matrix.terms.count() == 2
+
+
+def test_date_layouts(spark, tmp_path):
+    days = ["2024.01.22", "22.01.2024", "Jan 22, 2024", "January 22, 2024", "1/22/2024", "2024/1/22 08:00", "2024-01-22T20:00:00", "2024年1月22日"]
+    lines = "".join(f'term {i},"{d}",5\n' for i, d in enumerate(days))
+    folder, _ = write_reports(tmp_path, a=f"{HEADER}\n{lines}own,22|1|24,5\n")
+    log = src.read_term_log(spark, folder, date_formats=["d|M|yy"])
+    assert {str(r.report_date) for r in log.collect()} == {"2024-01-22"}
+
+
+def test_each_term_is_embedded_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def encode(self, terms):
+            seen.add(len(terms))
+            return [[float(len(t)), float(t.count("e")), 1.0] for t in terms]
+
+    folder, out = write_reports(tmp_path, a=HEADER + "\n" + "".join(f"term {i},2024-01-01,{i + 1}\n" for i in range(30)))
+    result = run_pipeline(spark, folder, out, embedder=model_embedder(Counting))
+    assert seen.value == 30 and result.features.where("vector is not null").count() == result.features.count()
+
+
+def test_reports_are_parsed_twice_at_most(spark, folder, tmp_path, monkeypatch):
+    scans = []
+    plain = src.read_term_log
+    monkeypatch.setattr("trendlab.plans.jobs.read_term_log", lambda *a, **k: scans.append(1) or plain(*a, **k))
+    out = str(tmp_path / "out")
+    result = run_pipeline(spark, folder, out)
+    assert len(scans) == 1
+    assert not [f for df in (result.mapping, result.features) for f in df.inputFiles() if f.endswith(".csv")]

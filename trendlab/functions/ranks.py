@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 # Spark's cast also takes Java literals such as "1d" and "NaN"; only plain numbers are ranks.
 _NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
 _ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:[ T].*)?\s*$"
-_OTHER_DATES = ("yyyy/M/d", "yyyyMMdd", "M/d/yyyy")
+_OTHER_DATES = (
+    "yyyy/M/d[ H:m[:s]]", "yyyyMMdd", "M/d/yyyy[ H:m[:s]]", "yyyy.M.d", "d.M.yyyy", "MMM d, yyyy", "d MMM yyyy",
+    "MMMM d, yyyy", "d MMMM yyyy", "yyyy年M月d日",
+)
 
 
 def _digits(c: Column) -> Column:
@@ -29,11 +34,15 @@ def parse_rank(c: Column) -> Column:
     return F.when(is_rank(c), rank_value(c))
 
 
-def parse_date(c: Column) -> Column:
-    """Date text to DATE: ISO first, then a few common layouts; anything else becomes null."""
+def parse_date(c: Column, formats: Iterable[str] = ()) -> Column:
+    """Date text to DATE: ISO first, then ``formats``, then common layouts; anything else becomes null.
+
+    A time of day is cut off. Months may be written out; where day and month could be either, the
+    month comes first unless a format says otherwise.
+    """
     text = F.trim(c)
     iso = F.when(text.rlike(_ISO_DATE), F.try_to_date(text))
-    return F.coalesce(iso, *(F.try_to_date(text, fmt) for fmt in _OTHER_DATES))
+    return F.coalesce(iso, *(F.try_to_date(text, fmt) for fmt in (*formats, *_OTHER_DATES)))
 
 
 def log_rank(rank: Column) -> Column:

@@ -105,6 +105,6 @@ def trend_compare(
     )
 
 
-def viewer_pivot(plot: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Plot rows as a table: one row per date, newest first, one column per term."""
+def viewer_pivot(plot: DataFrame, terms: list[str]) -> DataFrame:
+    """Plot rows as a table: one row per date, newest first, one column per listed term."""
     return plot.groupBy("date").pivot("term", terms).agg(F.max("rank")).orderBy(F.desc("date"))

@@ -25,11 +25,9 @@ def build_vocab(log: DataFrame) -> DataFrame:
     return log.select("term").where(F.col("term").isNotNull()).distinct()
 
 
-def vocab_stats(vocab: DataFrame, sample: int = 1000) -> DataFrame:
-    """Size of the vocabulary and mean length of its first ``sample`` terms in term order."""
-    first = vocab.orderBy("term").limit(sample)
-    mean_length = first.agg(F.avg(char_count(F.col("term")))).scalar()
-    return vocab.agg(F.count("term").alias("terms"), F.first(mean_length).alias("mean_length"))
+def vocab_stats(vocab: DataFrame) -> DataFrame:
+    """Size of the vocabulary and mean length of its terms."""
+    return vocab.agg(F.count("term").alias("terms"), F.avg(char_count(F.col("term"))).alias("mean_length"))
 
 
 def best_rank(log: DataFrame, term_col: str = "term") -> DataFrame:

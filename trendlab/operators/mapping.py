@@ -10,6 +10,8 @@ from trendlab.functions import char_count, word_count
 from trendlab.operators.logs import best_rank
 
 Rule = Literal["shortest", "fewest_words"]
+# Keys that rows without a term are dealt out to.
+NULL_KEYS = 1_000
 # Similarity from which a neighbour belongs to the group, per rule.
 THRESHOLDS: dict[str, float] = {"shortest": 0.75, "fewest_words": 0.725}
 
@@ -85,14 +87,13 @@ def apply_mapping(log: DataFrame, mapping: DataFrame) -> DataFrame:
 
     One hop only: a term mapped to b stays on b even if b maps on. Only terms that change are looked
     up. Spark broadcasts a small list of those; with a large one a hot term is split by the adaptive
-    skew join.
+    skew join, and rows without a term are dealt out under keys that match nothing.
     """
     changed = mapping.where(F.col("term") != F.col("canonical"))
-    lookup = changed.select("term", F.col("canonical").alias("mapped_term"))
-    joined = log.join(lookup, "term", "left")
-    return joined.withColumn("mapped_term", F.coalesce("mapped_term", "term")).select(
-        *log.columns, "mapped_term"
-    )
+    lookup = changed.select(F.col("term").alias("_key"), F.col("canonical").alias("_mapped"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_KEYS)).cast("string"))
+    joined = log.withColumn("_key", F.coalesce("term", spread)).join(lookup, "_key", "left")
+    return joined.select(*(joined[f"`{c}`"] for c in log.columns), F.coalesce("_mapped", "term").alias("mapped_term"))
 
 
 def mapped_best_rank(best: DataFrame, mapping: DataFrame) -> DataFrame:

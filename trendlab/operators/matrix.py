@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trendlab.functions import bind, log_rank
 
 RANK_CAP = 2_000_000
-# Report dates are a calendar axis that travels with the plan as one array. This is over 270 years
-# of daily reports; an axis beyond it is a wrong column (a time stamp) and fails the query.
-MAX_DATES = 100_000
 
 
 def date_axis(best: DataFrame, keep_empty_dates: bool = False) -> DataFrame:
@@ -29,12 +26,11 @@ def date_axis(best: DataFrame, keep_empty_dates: bool = False) -> DataFrame:
 
 
 def axis_array(dates: DataFrame) -> Column:
-    """Sorted dates as one array value, evaluated once as a scalar subquery."""
-    ordered = F.array_sort(F.collect_set("report_date"))
-    checked = F.when(F.size(ordered) <= MAX_DATES, ordered).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_DATES} report dates"))
-    )
-    return dates.agg(checked.alias("dates")).scalar()
+    """Sorted dates as one array value, evaluated once as a scalar subquery.
+
+    The column is a DATE, so the calendar bounds the array; it does not grow with the log.
+    """
+    return dates.agg(F.array_sort(F.collect_set("report_date")).alias("dates")).scalar()
 
 
 def filter_terms(best: DataFrame, cap: float = RANK_CAP) -> DataFrame:
@@ -54,12 +50,12 @@ def filter_summary(best: DataFrame, cap: float = RANK_CAP) -> DataFrame:
 def _dense_arrays(best: DataFrame, dates: DataFrame, fill: Column, value: Column) -> DataFrame:
     """One array per term over the whole date axis: ``term, best, filled``.
 
-    Each cell gets its place on the axis from a broadcast of the dates, whose number ``axis_array``
-    bounds. Per term the cells are sorted by place and the gaps before, between and after them are
-    filled with runs of ``fill``, so the work is linear in the axis and no dense row is shuffled.
+    Each cell gets its place on the axis from a join with the dates. Per term the cells are sorted
+    by place and the gaps before, between and after them are filled with runs of ``fill``, so the
+    work is linear in the axis and no dense row is shuffled.
     """
     axis = dates.sparkSession.range(1).select(F.posexplode(axis_array(dates)).alias("at", "report_date"))
-    placed = best.where(F.col("rank").isNotNull()).join(F.broadcast(axis), "report_date")
+    placed = best.where(F.col("rank").isNotNull()).join(axis, "report_date")
     cell = F.struct("at", value.alias("value"))
     per_term = placed.groupBy("term").agg(
         F.min("rank").alias("best"), F.sort_array(F.collect_list(cell)).alias("known")
@@ -116,14 +112,8 @@ def cells(curve_df: DataFrame, dates: DataFrame, value: str = "log_rank") -> Dat
     return curve_df.select("term", F.inline(pairs).alias("report_date", value))
 
 
-def pivot_matrix(matrix: DataFrame, dates: DataFrame | list, value: str = "rank") -> DataFrame:
-    """Wide form: one row per term, one column per date. For display, not for the main path.
-
-    The dates name the columns, so a DataFrame of them is collected here; Spark allows at most
-    ``spark.sql.pivotMaxValues`` columns.
-    """
-    if isinstance(dates, DataFrame):
-        dates = [r.report_date for r in dates.select("report_date").orderBy("report_date").collect()]
+def pivot_matrix(matrix: DataFrame, dates: list, value: str = "rank") -> DataFrame:
+    """Wide form: one row per term, one column per date of the list. For display, not for the main path."""
     return matrix.groupBy("term").pivot("report_date", dates).agg(F.min(value))
 
 
@@ -144,14 +134,17 @@ def matrix_stats(matrix: DataFrame) -> DataFrame:
     )
     n, mean, var = F.col("n"), F.col("mean"), F.col("var")
     grand = F.try_divide(F.sum(n * mean), F.sum(n))
-    second_moment = F.try_divide(F.sum(n * (var + mean * mean)), F.sum(n))
+    # The mean first, then squared distances from it: no digits are lost when the spread is small.
+    centre = per_term.agg(grand.alias("centre")).scalar()
+    per_term = per_term.withColumn("off", mean - centre)
+    variance = F.try_divide(F.sum(n * (var + F.col("off") * F.col("off"))), F.sum(n))
     return per_term.agg(
         F.count("term").alias("n_terms"),
         F.coalesce(F.max("n"), F.lit(0)).alias("n_dates"),
         F.min("low").alias("min_value"),
         F.max("high").alias("max_value"),
         grand.alias("mean_value"),
-        F.sqrt(F.greatest(second_moment - grand * grand, F.lit(0.0))).alias("std_value"),
+        F.sqrt(variance).alias("std_value"),
         F.min("first").alias("first_date"),
         F.max("last").alias("last_date"),
     )

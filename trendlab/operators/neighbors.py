@@ -51,17 +51,25 @@ def _block_count(vectors: DataFrame, tasks: int, block_rows: int | None) -> Colu
     return vectors.agg(F.greatest(blocks, F.lit(1)).cast("int").alias("blocks")).scalar()
 
 
+def tasks_for(vectors: DataFrame) -> int:
+    """Tasks for ``knn_join`` over stored vectors: a few tiles each, however many tiles there are."""
+    blocks = math.ceil(vectors.count() / MAX_BLOCK_ROWS)
+    return max(parallelism(vectors), math.ceil(blocks * (blocks + 1) / 2 / TILES_PER_TASK))
+
+
 def knn_join(
-    vectors: DataFrame, k: int = 20, threshold: float | None = None, block_rows: int | None = None
+    vectors: DataFrame, k: int = 20, threshold: float | None = None, block_rows: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar terms of each term, itself included: ``term, neighbor, sim, pos``.
 
     Neighbours are ordered by similarity, then term. ``threshold`` drops neighbours below it; given
     here rather than filtered afterwards it gives the same rows, but already inside the tiles.
     Cost is quadratic in the number of terms and so is the work of any exact method; data moved is
-    the vectors times the number of blocks.
+    the vectors times the number of blocks. ``tasks`` should follow the number of tiles, see
+    ``tasks_for``; by default it is the session's parallelism.
     """
-    tasks = parallelism(vectors)
+    tasks = tasks or parallelism(vectors)
     # Terms without a vector are left out inside the tiles. A filter here would be pushed below the
     # de-duplication of the vocabulary and embed every row of the log.
     blocked = vectors.withColumn("_n", _block_count(vectors, tasks, block_rows)).withColumn(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Executors need not have this package installed: its functions travel with the task.
@@ -22,8 +23,11 @@ DENSE = 0.05
 
 def _matrix_of(table: pa.Table) -> np.ndarray:
     vectors = table.column("vector").combine_chunks()
+    widths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(widths) != 1:
+        raise ValueError(f"vectors of one table must have one width, not {sorted(widths)}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
+    return flat.reshape(len(vectors), widths[0])
 
 
 def _strip_top_k(scores: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
@@ -42,6 +46,11 @@ def _strip_top_k(scores: np.ndarray, k: int, floor: float) -> tuple[np.ndarray,
     sim = np.floor(scores[row, col] * scale + 0.5) / scale
     reached = sim >= floor
     row, col, sim = row[reached], col[reached], sim[reached]
+    return _first_k(row, col, sim, k)
+
+
+def _first_k(row: np.ndarray, col: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of each row; ties go to the smaller column."""
     order = np.lexsort((col, -sim, row))
     row, col, sim = row[order], col[order], sim[order]
     first_k = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
@@ -61,25 +70,33 @@ def tile_top_k(k: int, threshold: float | None) -> Callable[[pa.Table], pa.Table
         left_block, right_block = table.column("left")[0].as_py(), table.column("right")[0].as_py()
         block = table.column("block").to_numpy()
         left = table.filter(pa.array(block == left_block))
-        sides = [(left, left)]
-        if left_block != right_block:
-            right = table.filter(pa.array(block == right_block))
-            sides = [(left, right), (right, left)]
+        right = left if left_block == right_block else table.filter(pa.array(block == right_block))
+        if not len(left) or not len(right):
+            return schema.empty_table()
         parts = []
-        for queries, targets in sides:
-            if not len(queries) or not len(targets):
-                continue
-            q, t = _matrix_of(queries), _matrix_of(targets).T
-            step = max(1, STRIP_SCORES // t.shape[1])
-            for start in range(0, len(q), step):
-                row, col, sim = _strip_top_k(q[start:start + step] @ t, k, floor)
-                parts.append(
-                    pa.table({
-                        "term": queries.column("term").take(pa.array(row + start)),
-                        "neighbor": targets.column("term").take(pa.array(col)),
-                        "sim": pa.array(sim),
-                    })
-                )
-        return pa.concat_tables(p.cast(schema) for p in parts) if parts else schema.empty_table()
+
+        def add(queries: pa.Table, targets: pa.Table, row: np.ndarray, col: np.ndarray, sim: np.ndarray) -> None:
+            parts.append(
+                pa.table({
+                    "term": queries.column("term").take(pa.array(row)),
+                    "neighbor": targets.column("term").take(pa.array(col)),
+                    "sim": pa.array(sim),
+                })
+            )
+
+        q, t = _matrix_of(left), _matrix_of(right).T
+        step = max(1, STRIP_SCORES // t.shape[1])
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for start in range(0, len(q), step):
+            scores = q[start:start + step] @ t
+            row, col, sim = _strip_top_k(scores, k, floor)
+            add(left, right, row + start, col, sim)
+            if left_block != right_block:  # the same scores, read by column, serve the other block
+                row, col, sim = _strip_top_k(scores.T, k, floor)
+                merged = [np.concatenate(x) for x in zip(kept, (row, col + start, sim))]
+                kept = _first_k(*merged, k)
+        if left_block != right_block:
+            add(right, left, *kept)
+        return pa.concat_tables(p.cast(schema) for p in parts)
 
     return tile

@@ -1,8 +1,9 @@
 """End-to-end jobs over files. Each step that several later ones read is a written table, so that a
-lost executor costs one step and no plan is evaluated twice."""
+lost executor costs one step; the reports are parsed once and each term is embedded once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -34,11 +35,17 @@ def build_mapping(
     k: int = 20,
     threshold: float | None = None,
     embedder: Embedder | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Canonical term of every vocabulary term, by nearest neighbours of its vectors."""
+    """Canonical term of every vocabulary term, by nearest neighbours of its vectors.
+
+    ``vectors`` takes the stored vectors of the vocabulary and saves embedding it.
+    """
     limit = m.THRESHOLDS[rule] if threshold is None else threshold
-    vectors = neighbors.embed_terms(vocab, embedder, spread=True)
-    return m.canonical(neighbors.knn_join(vectors, k, limit), vocab, rule, limit)
+    tasks = None if vectors is None else neighbors.tasks_for(vectors)
+    if vectors is None:
+        vectors = neighbors.embed_terms(vocab, embedder, spread=True)
+    return m.canonical(neighbors.knn_join(vectors, k, limit, tasks=tasks), vocab, rule, limit)
 
 
 def export_mapping(
@@ -95,9 +102,17 @@ def verify_stored(spark: SparkSession, path: str) -> DataFrame:
     return mx.verify(long, terms, dates)
 
 
-def embed_kept_terms(stored: Matrix, path: str, embedder: Embedder | None = None) -> None:
-    """Vectors of the terms the matrix kept."""
-    write_vectors(neighbors.embed_terms(stored.terms, embedder, spread=True), path)
+def embed_kept_terms(
+    stored: Matrix, path: str, embedder: Embedder | None = None, vectors: DataFrame | None = None
+) -> None:
+    """Vectors of the terms the matrix kept, taken from ``vectors`` where they are stored already.
+
+    New vectors are stored before they are sorted: sorting samples its input, which would run the
+    model once more.
+    """
+    if vectors is None:
+        vectors = _stored(neighbors.embed_terms(stored.terms, embedder, spread=True), f"{path}_unsorted")
+    write_vectors(vectors.join(stored.terms.select("term"), "term", "left_semi"), path)
 
 
 def run_pipeline(
@@ -111,24 +126,28 @@ def run_pipeline(
     embedder: Embedder | None = None,
     cap: float = mx.RANK_CAP,
     keep_empty_dates: bool = False,
+    date_formats: Iterable[str] = (),
 ) -> Outputs:
     """From a folder of reports to mapping, matrix, checks, vectors and features under ``out``.
 
-    ``features`` joins curves and vectors once, so that each seed is scored by a plain scan.
+    The text is read twice, once for encodings and headers and once to store the log; all else reads
+    the stored log. Every stage takes the files that are fit for it. ``features`` joins curves and
+    vectors once, so that each seed is scored by a plain scan.
     """
     files = _stored(inspect_files(spark, path, cols.required()), f"{out}/files")
-    raw = read_term_log(spark, path, cols, files=files)
-    report = _stored(file_quality_report(raw, files), f"{out}/skipped_files")
+    raw = _stored(read_term_log(spark, path, cols, files=files, date_formats=date_formats), f"{out}/log")
+    report = _stored(file_quality_report(raw, files, cols.required()), f"{out}/skipped_files")
     write_stats(run_summary(report, files), f"{out}/run_summary")
-    log = accepted(raw, report)
 
-    vocab = _stored(logs.build_vocab(log), f"{out}/vocabulary")
+    vocab = _stored(logs.build_vocab(accepted(raw, report, "vocabulary")), f"{out}/vocabulary")
     write_stats(logs.vocab_stats(vocab), f"{out}/vocab_stats")
-    mapping = _stored(build_mapping(vocab, rule, k, threshold, embedder), f"{out}/mapping")
-    export_mapping(log, mapping, out, rule, threshold)
+    vectors = _stored(neighbors.embed_terms(vocab, embedder, spread=True), f"{out}/vocabulary_vectors")
+    mapping = _stored(build_mapping(vocab, rule, k, threshold, vectors=vectors), f"{out}/mapping")
+    export_mapping(accepted(raw, report, "mapped_log"), mapping, out, rule, threshold)
 
+    log = accepted(raw, report, "matrix")
     stored = build_trend_matrix(log, f"{out}/matrix", cap, keep_empty_dates=keep_empty_dates, mapping=mapping)
     checks = _stored(verify_stored(spark, f"{out}/matrix"), f"{out}/checks")
-    embed_kept_terms(stored, f"{out}/vectors", embedder)
+    embed_kept_terms(stored, f"{out}/vectors", vectors=vectors)
     features = load_features(spark, f"{out}/matrix", f"{out}/vectors").orderBy("term")
     return Outputs(mapping, stored, checks, _stored(features, f"{out}/features"))

@@ -118,40 +118,57 @@ def missing_columns(spark: SparkSession, path: str, required: Iterable[str], glo
     return files.where(F.size("missing") > 0).select("file", "missing")
 
 
-def file_quality_report(log: DataFrame, files: DataFrame) -> DataFrame:
-    """Files to leave out, with the reason: ``file, reason``.
+def file_quality_report(log: DataFrame, files: DataFrame, required: Iterable[str]) -> DataFrame:
+    """Files with a defect: ``file, reason, undated, unranked`` and which stages can use the file.
 
     ``log`` is what ``read_term_log`` returned and ``files`` what ``inspect_files`` returned, which
-    also has the files that gave no row at all.
+    also has the files that gave no row at all; ``required`` names the term, date and rank column.
+    ``undated`` and ``unranked`` count rows with a term
+    whose date or rank cannot be read. A file is good for the ``vocabulary`` if it has terms, for the
+    ``mapped_log`` if it has dates as well, and for the ``matrix`` if it has all three columns;
+    malformed rows make it unfit for all.
     """
+    has_term = F.col("term").isNotNull()
     valid = F.col("term").isNotNull() & F.col("report_date").isNotNull() & is_rank(F.col("rank_raw"))
     counts = log.groupBy("file").agg(
-        F.count_if(valid).alias("valid"), F.count_if("malformed").alias("malformed")
+        F.count_if(valid).alias("valid"),
+        F.count_if("malformed").alias("malformed"),
+        F.count_if(has_term & F.col("report_date").isNull()).alias("undated"),
+        F.count_if(has_term & ~F.coalesce(is_rank(F.col("rank_raw")), F.lit(False))).alias("unranked"),
     )
     reason = (
         F.when(F.col("empty"), "empty file")
         .when(F.col("columns").isNull(), "no encoding fits")
         .when(F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")))
-        .when(F.col("malformed") > 0, F.concat(F.lit("rows with too many fields: "), F.col("malformed")))
+        .when(F.col("malformed") > 0, F.concat(F.lit("malformed rows: "), F.col("malformed")))
         .when(F.coalesce("valid", F.lit(0)) == 0, "no valid data")
     )
+    sound = F.col("columns").isNotNull() & ~F.col("empty") & (F.coalesce("malformed", F.lit(0)) == 0)
+    lacks = F.size("missing")
+    term, date, _ = required
+    has_terms = ~F.array_contains("missing", term)
+    has_dates = has_terms & ~F.array_contains("missing", date)
     return (
         files.join(counts, "file", "left")
-        .select("file", reason.alias("reason"))
-        .where(F.col("reason").isNotNull())
+        .select(
+            "file",
+            reason.alias("reason"),
+            F.coalesce("undated", F.lit(0)).alias("undated"),
+            F.coalesce("unranked", F.lit(0)).alias("unranked"),
+            F.coalesce(sound & has_terms, F.lit(False)).alias("vocabulary"),
+            F.coalesce(sound & has_dates, F.lit(False)).alias("mapped_log"),
+            F.coalesce(sound & (lacks == 0), F.lit(False)).alias("matrix"),
+        )
+        .where(F.col("reason").isNotNull() | (F.col("undated") > 0) | (F.col("unranked") > 0))
     )
 
 
-def accepted(log: DataFrame, report: DataFrame) -> DataFrame:
-    """The log without the reported files.
-
-    The report has at most one row per file of a folder the driver has listed, so it is broadcast;
-    the log is not shuffled by file.
-    """
-    return log.join(F.broadcast(report.select("file")), "file", "left_anti").select(*log.columns)
+def accepted(log: DataFrame, report: DataFrame, stage: str = "matrix") -> DataFrame:
+    """The log without the files that are unfit for a stage: ``vocabulary``, ``mapped_log``, ``matrix``."""
+    return log.join(report.where(~F.col(stage)).select("file"), "file", "left_anti").select(*log.columns)
 
 
 def run_summary(report: DataFrame, files: DataFrame) -> DataFrame:
-    """Number of usable files and of all files: ``ok, total``."""
-    skipped = report.agg(F.count(F.lit(1))).scalar()
+    """Number of files without a reason against them and of all files: ``ok, total``."""
+    skipped = report.agg(F.count("reason")).scalar()
     return files.agg(F.count(F.lit(1)).alias("total")).select((F.col("total") - skipped).alias("ok"), "total")
