@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: What a broadcast may hold at most; the row counts are measured before a side is broadcast.
 BROADCAST_BYTES = 32 << 20
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="trendlab-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="trendlab-llm-"))
+        base = _OWN[0]
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
