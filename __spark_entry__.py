@@ -18,7 +18,7 @@ from trendlab.fixtures import (
     EMBEDDING_THRESHOLD, SEED, TERM_CAP, embedding_vectors, table, term_log,
 )
 from trendlab.functions import (
-    char_count, cosine, inverse_rank, l2_normalize, log_rank, parse_date, parse_rank, pearson,
+    char_count, cosine, inverse_rank, l2_normalize, log_rank, ngram_embedder, parse_date, parse_rank, pearson,
     tokens, word_count,
 )
 from trendlab.operators import insights, logs, mapping, matrix, neighbors, recommend
@@ -39,6 +39,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Terms of the viewer; they occur in every size of the test data, and the filter drops some.
 VIEWED = [SEED, "blue gizmo brand#19 medium", "cold anvil brand#20 large", "cold ring brand#2 promo"]
 
+# Slots of the wider vectors and the similarity from which their terms are neighbours.
+WIDE, WIDE_THRESHOLD = 384, 0.8
+# Limits of meaning and trend between which the seed's recommendations fall.
+SPLIT = (0.8, 0.0)
+
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -202,6 +207,16 @@ def _q_knn_top_k(spark, sf):
     return neighbors.knn_join(embedding_vectors(spark, sf))
 
 
+def _wide_neighbors(spark, sf):
+    """Neighbours by wider vectors, whose lists run from the term alone to full ones."""
+    vectors = neighbors.embed_terms(_vocab(spark, sf), ngram_embedder(WIDE), spread=True)
+    return neighbors.knn_join(vectors, threshold=WIDE_THRESHOLD)
+
+
+def _q_canonical_wide(spark, sf):
+    return mapping.canonical(_wide_neighbors(spark, sf), _vocab(spark, sf), "fewest_words", WIDE_THRESHOLD)
+
+
 def _q_change_log_vocabulary(spark, sf):
     """Change log of the shortest-text rule, in vocabulary order."""
     return mapping.change_log_order(mapping.change_log(_mapping(spark, sf, "shortest")), "vocabulary")
@@ -354,6 +369,11 @@ def _q_quadrants(spark, sf):
     return _rounded(insights.quadrants(_recs(spark, sf)), "semantic_score", "trend_corr")
 
 
+def _q_quadrants_all(spark, sf):
+    """Limits in the middle of this seed's scores, so that all four places are taken."""
+    return _rounded(insights.quadrants(_recs(spark, sf), *SPLIT), "semantic_score", "trend_corr")
+
+
 def _q_plot_rows(spark, sf):
     features, dates = _features_and_dates(spark, sf)
     return _rounded(insights.plot_rows(features, dates, _compare_set(features)), "rank", digits=3)
@@ -411,6 +431,8 @@ def queries() -> dict[str, Query]:
         "knn_embeddings": _q_knn_embeddings,
         "knn_top_k": _q_knn_top_k,
         "knn_terms": lambda s, d: _neighbors(_vocab(s, d), "fewest_words"),
+        "knn_terms_wide": _wide_neighbors,
+        "canonical_wide": _q_canonical_wide,
         "canonical_shortest": lambda s, d: _mapping(s, d, "shortest"),
         "canonical_fewest_words": lambda s, d: _mapping(s, d, "fewest_words"),
         "change_log": _q_change_log,
@@ -430,6 +452,7 @@ def queries() -> dict[str, Query]:
         "seasonality": _q_seasonality,
         "attributes": _q_attributes,
         "quadrants": _q_quadrants,
+        "quadrants_all": _q_quadrants_all,
         "plot_rows": _q_plot_rows,
         "trend_compare": _q_trend_compare,
         "viewer_pivot": _q_viewer_pivot,
@@ -491,6 +514,22 @@ _CTE: dict[str, tuple[str, list[str]]] = {
     "vectors": ("""
         SELECT term, CAST(CAST(list_transform(c, lambda x: x / n) AS FLOAT[]) AS DOUBLE[]) AS v
         FROM (SELECT term, c, sqrt(list_inner_product(c, c)) AS n FROM counts)""", ["counts"]),
+    "wide_counts": (f"""
+        SELECT term, list_transform(range(0, {WIDE}), lambda s: CAST(len(list_filter(b, lambda x: x = s)) AS DOUBLE)) AS c
+        FROM (SELECT term, list_transform(range(1, length(term) + 1),
+                     lambda i: CAST('0x' || substr(md5(substr(' ' || term || ' ', i, 3)), 1, 4) AS INT) % {WIDE}) AS b
+              FROM vocab)""", ["vocab"]),
+    "wide_vectors": ("""
+        SELECT term, CAST(CAST(list_transform(c, lambda x: x / n) AS FLOAT[]) AS DOUBLE[]) AS v
+        FROM (SELECT term, c, sqrt(list_inner_product(c, c)) AS n FROM wide_counts)""", ["wide_counts"]),
+    "wide_ranked": (f"""
+        SELECT * FROM (
+            SELECT term, neighbor, sim,
+                   CAST(row_number() OVER (PARTITION BY term ORDER BY sim DESC, neighbor) AS INT) AS pos
+            FROM (SELECT a.term, b.term AS neighbor, round(list_inner_product(a.v, b.v), 9) AS sim
+                  FROM wide_vectors a, wide_vectors b) WHERE sim >= {WIDE_THRESHOLD})
+        WHERE pos <= 20""", ["wide_vectors"]),
+    "wide_fewest": (_canonical("wide_ranked", f"{_words('g.neighbor')}, length(g.neighbor), g.pos"), ["vocab", "wide_ranked"]),
     "document_words": (f"""
         SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda w: length(w) > 2))
                AS term FROM documents""", []),
@@ -665,6 +704,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_embeddings": _sql(f"SELECT * FROM emb_ranked WHERE sim >= {EMBEDDING_THRESHOLD}", "emb_ranked"),
         "knn_top_k": _sql("SELECT * FROM emb_ranked", "emb_ranked"),
         "knn_terms": _sql("SELECT * FROM ranked", "ranked"),
+        "knn_terms_wide": _sql("SELECT * FROM wide_ranked", "wide_ranked"),
+        "canonical_wide": _sql(f"{mapping_cols} wide_fewest", "wide_fewest"),
         "canonical_shortest": _sql(f"{mapping_cols} shortest", "shortest"),
         "canonical_fewest_words": _sql(f"{mapping_cols} fewest", "fewest"),
         "change_log": _sql(
@@ -718,6 +759,12 @@ def oracle_sql() -> dict[str, str]:
                         WHEN trend_corr >= 0.5 THEN 'complement'
                         WHEN semantic_score >= 0.7 THEN 'semantic_only' ELSE 'weak' END AS quadrant
             FROM recs""", "recs"),
+        "quadrants_all": _sql(f"""
+            SELECT term, round(semantic_score, 6) AS semantic_score, round(trend_corr, 6) AS trend_corr,
+                   CASE WHEN semantic_score >= {SPLIT[0]} AND trend_corr >= {SPLIT[1]} THEN 'substitute'
+                        WHEN trend_corr >= {SPLIT[1]} THEN 'complement'
+                        WHEN semantic_score >= {SPLIT[0]} THEN 'semantic_only' ELSE 'weak' END AS quadrant
+            FROM recs""", "recs"),
         "plot_rows": _sql("""
             SELECT report_date AS date, term, round(pow(10, log_rank) - 1, 3) AS rank
             FROM cells WHERE term IN (SELECT term FROM chosen)""", "cells", "chosen"),
