@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
 #: Words a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _MARKED = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
