@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendlab.llm import language, minhash, mixing, pieces, pii
-from trendlab.llm.common import small, stored
+from trendlab.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that are linked by 5-word shingles at 0.8, the smallest id stays.
 
-    Repeated rows are one document. Documents without words are no duplicates of anything.
+    Null ids come last, then the hash of the text decides. Repeated rows are one document. Documents
+    without words are no duplicates of anything.
     """
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    kept = stored(found.filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    stay = docs.join(small(kept, 32), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("_rows > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", "text"])
-    return stay
+    return minhash.without_near_duplicates(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,24 +250,10 @@ def _links_across(member: DataFrame, texts: DataFrame, groups: DataFrame, width:
     return dealt.mapInArrow(_compare_blocks(percent), "a binary, b binary")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Rows are linked where ``100 * |A & B| >= percent * |A | B|`` of their word-shingle sets.
-    ``component_id`` is the smallest id that links lead to; ``kept`` marks the row that has it.
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``id, key, n_shingles, root`` for every row: hash of the text, and the component's smallest one.
 
-    * Null or empty text, or only white space: no shingles, linked with nothing, kept.
-    * Repeated rows and rows with equal texts are linked; ties go to the smallest id.
-    * Null id: keeps its links, but is never a component's id unless all its ids are null.
-    * Other columns of ``docs`` are not read; an empty table gives an empty result.
+    ``root`` is null where there are no shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.unhex(F.md5("text")))
@@ -300,12 +286,63 @@ def near_duplicates(
     more = stored(_links_across(member, texts, components(edges), width, percent), "links")
     groups = components(edges.union(more)).select(F.col("node").alias("key"), "root")
 
-    rows_ = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
-    rows_ = rows_.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows_ = signed.select("id", "n_shingles", "key").join(groups, "key", "left")
+    root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "key"))
+    return rows_.select("id", "key", "n_shingles", root.alias("root"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Rows are linked where ``100 * |A & B| >= percent * |A | B|`` of their word-shingle sets.
+    ``component_id`` is the smallest id that links lead to; ``kept`` marks the row that has it.
+
+    * Null or empty text, or only white space: no shingles, linked with nothing, kept.
+    * Repeated rows and rows with equal texts are linked; ties go to the smallest id.
+    * Null id: keeps its links, but is never a component's id unless all its ids are null.
+    * Other columns of ``docs`` are not read; an empty table gives an empty result.
+    """
+    rows_ = _rooted(docs, id_col, text_col, width, percent, bands, rows)
     lowest = rows_.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     return rows_.join(lowest, "root", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("root").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).alias("kept"),
+        (F.col("root").isNull() | F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
+    )
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``. Columns as they are.
+
+    The row with the smallest id stays, null ids last; of several texts with that id the one with the
+    smallest hash. Rows without shingles all stay. Rows with equal id and text are one document.
+    """
+    rows_ = _rooted(docs, id_col, text_col, width, percent, bands, rows)
+    per = rows_.groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    # Rows without shingles are components of their own.
+    lone = F.when(F.col("root").isNull(), F.struct("id", "key")).alias("lone")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")).alias("row")
+    chosen = per.groupBy("root", lone).agg(first).select(
+        F.col("row.id").alias("_id"), F.col("row.key").alias("_key"), F.col("row.n").alias("_n")
     )
+    chosen = stored(chosen, "kept")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & F.unhex(F.md5(docs[text_col])).eqNullSafe(F.col("_key"))
+    stay = docs.join(small(chosen, 64), same, "left_semi")
+    return stay.dropDuplicates([id_col, text_col]) if chosen.filter("_n > 1").limit(1).count() else stay
