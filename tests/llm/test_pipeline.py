@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+from trendlab.llm import language
 
 from .conftest import DOCS
 from .test_texts import components, shingles
@@ -48,3 +49,18 @@ def test_near_dedup_of_null_and_shared_ids(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     got = Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()))
     assert got == brute_survivors(rows) and sum(got.values()) == 9
+
+
+def lettered(rows):
+    return Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+
+
+def test_language_id_without_labels(spark, docs, awkward):
+    bare = [(*r[:2], None, *r[3:]) for r in awkward]
+    held = {r["doc_id"] for r in docs.filter(language.held_out("doc_id")).collect()}
+    assert held
+    labelled = [(*r[:2], "en" if r[0] in held else None, *r[3:]) for r in awkward]
+    for rows in (bare, labelled):
+        df = spark.createDataFrame(rows, DOCS)
+        assert language.fit(df) is None
+        assert Counter(map(tuple, corpus_pipeline.language_id(spark, df, "").collect())) == lettered(rows)

@@ -190,7 +190,8 @@ def _predict(model: Model | None):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 texts = batch.column("text").to_pylist()
-                known = [i for i, t in enumerate(texts) if predictor and t and _LETTER.search(t)]
+                lettered = [bool(t and _LETTER.search(t)) for t in texts]
+                known = [i for i, has in enumerate(lettered) if predictor and has]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if known:
                     prob = predictor([texts[i].encode("utf-8", "surrogatepass") for i in known])
@@ -200,7 +201,8 @@ def _predict(model: Model | None):
                 rest = [batch.column(c) for c in batch.schema.names if c != "text"]
                 names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
+                    [*rest, pa.array(lettered, pa.bool_()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    [*names, "lettered", "lang_pred", "score"],
                 )
 
     return run
@@ -220,13 +222,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    guessed = rows.mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double")
+    guessed = rows.mapInArrow(_predict(model), f"id {kind}, lettered boolean, lang_pred string, score double")
     return guessed.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language could be told; ``und`` rows go. Columns as they are."""
+    """The rows of ``docs`` whose text has a letter; null and letterless texts go. Columns as they are.
+
+    These are the rows that ``predict`` gives a language. Without a model it can give none, which is
+    no fault of a text: the same rows stay.
+    """
     row = docs.select(F.col(text_col).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     shape = row.schema["row"].dataType.simpleString()
-    guessed = row.mapInArrow(_predict(model), f"row {shape}, lang_pred string, score double")
-    return guessed.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    guessed = row.mapInArrow(_predict(model), f"row {shape}, lettered boolean, lang_pred string, score double")
+    return guessed.filter("lettered").select("row.*")
