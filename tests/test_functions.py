@@ -95,3 +95,11 @@ def test_ngram_embedder_short_and_null_terms(spark):
     assert got[""] is None and got[None] is None
     assert np.linalg.norm(got["a"]) == pytest.approx(1.0, abs=1e-6)
     assert len(got["abc"]) == 64
+
+
+def test_parse_time(spark):
+    texts = ["2024-01-08", "2024/1/8 08:00", "2024-1-8 20:00", "1/8/2024 20:15:30", "2024-01-08T20:00:00.5Z", "2024-01-08 late", "20240108", "soon", None]
+    day = dt.datetime(2024, 1, 8)
+    times = [day, day.replace(hour=8), day.replace(hour=20), day.replace(hour=20, minute=15, second=30), day.replace(hour=20, microsecond=500_000), day, day, None, None]
+    assert values(spark, texts, fn.parse_time) == times
+    assert values(spark, texts, lambda c: fn.parse_time(c).cast("date")) == values(spark, texts, fn.parse_date)

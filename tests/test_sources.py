@@ -206,3 +206,24 @@ def test_reports_are_parsed_twice_at_most(spark, folder, tmp_path, monkeypatch):
     result = run_pipeline(spark, folder, out)
     assert len(scans) == 1
     assert not [f for df in (result.mapping, result.features) for f in df.inputFiles() if f.endswith(".csv")]
+
+
+def test_reports_of_one_day_stay_apart(spark, tmp_path):
+    folder, out = write_reports(
+        tmp_path,
+        a=f"{HEADER}\nred shoe,2024/1/8 08:00,5\nlamp,2024/1/8 08:00,9\n",
+        b=f"{HEADER}\nred shoe,2024/1/8 20:00,3\nred shoe,2024-01-15,4\n",
+    )
+    done = run_pipeline(spark, folder, out)
+    assert sorted(str(r.report_date) for r in done.matrix.dates.collect()) == ["2024-01-08 08:00:00", "2024-01-08 20:00:00", "2024-01-15 00:00:00"]
+    cells = {(r.term, str(r.report_date)): round(10**r.log_rank - 1) for r in done.matrix.long.collect()}
+    assert [cells["red shoe", t] for t in ("2024-01-08 08:00:00", "2024-01-08 20:00:00", "2024-01-15 00:00:00")] == [5, 3, 4]
+    assert cells["lamp", "2024-01-08 20:00:00"] == 2_000_000 and len(cells) == 6
+    assert all(r.passed for r in done.checks.collect())
+    assert spark.read.parquet(f"{out}/mapped_log").select("report_date").distinct().count() == 3
+    assert src.read_term_log(spark, folder).schema["report_date"].dataType.simpleString() == "date"
+
+
+def test_axis_without_times_is_of_dates(spark, tmp_path):
+    folder, out = write_reports(tmp_path, a=f"{HEADER}\nred shoe,2024-01-08,5\nred shoe,2024/1/15,6\n")
+    assert run_pipeline(spark, folder, out).matrix.dates.schema["report_date"].dataType.simpleString() == "date"

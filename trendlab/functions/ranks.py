@@ -37,7 +37,7 @@ def parse_rank(c: Column) -> Column:
 def parse_date(c: Column, formats: Iterable[str] = ()) -> Column:
     """Date text to DATE: ISO first, then ``formats``, then common layouts; anything else becomes null.
 
-    A time of day is cut off. Months may be written out; where day and month could be either, the
+    A time of day is cut off, see ``parse_time``. Months may be written out; where day and month could be either, the
     month comes first unless a format says otherwise.
     """
     text = F.trim(c)
@@ -45,6 +45,23 @@ def parse_date(c: Column, formats: Iterable[str] = ()) -> Column:
     return F.coalesce(iso, *(F.try_to_date(text, fmt) for fmt in (*formats, *_OTHER_DATES)))
 
 
+def parse_time(c: Column, formats: Iterable[str] = ()) -> Column:
+    """The texts ``parse_date`` reads to TIMESTAMP_NTZ with their time of day, midnight where there is none.
+
+    The time is the written one: a zone after it is ignored. Layouts other than ISO are read in the
+    session's zone. An ISO date with something after it that is no time is that day's midnight.
+    """
+    text = F.trim(c)
+    iso = F.when(text.rlike(_ISO_DATE), F.coalesce(text.try_cast("timestamp_ntz"), F.try_to_date(text).cast("timestamp_ntz")))
+    layouts = (*formats, *_OTHER_DATES)
+    return F.coalesce(iso, *(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in layouts))
+
+
+def has_time(c: Column) -> Column:
+    """Whether a timestamp is not a midnight."""
+    return c != c.cast("date").cast("timestamp_ntz")
+
+
 def log_rank(rank: Column) -> Column:
     return F.log10(rank + F.lit(1))
 

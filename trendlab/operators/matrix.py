@@ -28,7 +28,7 @@ def date_axis(best: DataFrame, keep_empty_dates: bool = False) -> DataFrame:
 def axis_array(dates: DataFrame) -> Column:
     """Sorted dates as one array value, evaluated once as a scalar subquery.
 
-    The column is a DATE, so the calendar bounds the array; it does not grow with the log.
+    With DATEs the calendar bounds the array; with times the number of distinct report times does.
     """
     return dates.agg(F.array_sort(F.collect_set("report_date")).alias("dates")).scalar()
 

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trendlab.functions import has_time
 from trendlab.functions.embedding import Embedder
 from trendlab.operators import logs, mapping as m, matrix as mx, neighbors
 from trendlab.sources import (
@@ -132,10 +133,15 @@ def run_pipeline(
 
     The text is read twice, once for encodings and headers and once to store the log; all else reads
     the stored log. Every stage takes the files that are fit for it. ``features`` joins curves and
-    vectors once, so that each seed is scored by a plain scan.
+    vectors once, so that each seed is scored by a plain scan. The stored log keeps times of day; from
+    there on ``report_date`` is a TIMESTAMP_NTZ where any row has one, so that reports of one day stay
+    apart, else a DATE.
     """
     files = _stored(inspect_files(spark, path, cols.required()), f"{out}/files")
-    raw = _stored(read_term_log(spark, path, cols, files=files, date_formats=date_formats), f"{out}/log")
+    log = read_term_log(spark, path, cols, files=files, date_formats=date_formats, time_axis=True)
+    raw = _stored(log, f"{out}/log")
+    if not raw.where(has_time(F.col("report_date"))).limit(1).count():
+        raw = raw.withColumn("report_date", F.col("report_date").cast("date"))
     report = _stored(file_quality_report(raw, files, cols.required()), f"{out}/skipped_files")
     write_stats(run_summary(report, files), f"{out}/run_summary")
 

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from trendlab.functions import parse_date
+from trendlab.functions import parse_date, parse_time
 from trendlab.sources.files import GBK, inspect_files
 
 # Fixed value: texts a pandas reader takes for missing by default. Some are real search terms, so
@@ -88,6 +88,7 @@ def read_term_log(
     multi_line: bool = False,
     files: DataFrame | None = None,
     date_formats: Iterable[str] = (),
+    time_axis: bool = False,
 ) -> DataFrame:
     """All reports of a folder: ``term, report_date DATE, rank_raw STRING``, other columns, ``file, malformed``.
 
@@ -98,6 +99,7 @@ def read_term_log(
     encoding fits, give no rows: see ``file_quality_report``. ``files`` takes a stored
     ``inspect_files`` result and saves its pass over the text. ``na_values`` lists texts to read as
     missing; by default only an empty field is. ``date_formats`` are tried before the common layouts.
+    ``time_axis`` makes ``report_date`` a TIMESTAMP_NTZ that keeps times of day apart.
     """
     inspected = inspect_files(spark, path, cols.required(), glob) if files is None else files
     usable = inspected.where(F.array_contains("columns", cols.term))
@@ -112,6 +114,6 @@ def read_term_log(
         texts = list(na_values)
         names = [n for n in log.columns if n not in ("file", "malformed")]
         log = log.withColumns({n: F.when(~F.col(f"`{n}`").isin(texts), F.col(f"`{n}`")) for n in names})
-    log = log.withColumn("report_date", parse_date(F.col("report_date"), date_formats))
+    log = log.withColumn("report_date", (parse_time if time_axis else parse_date)(F.col("report_date"), date_formats))
     first = ["term", "report_date", "rank_raw"]
     return log.select(*first, *(F.col(f"`{c}`") for c in log.columns if c not in first))
