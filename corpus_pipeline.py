@@ -14,7 +14,7 @@ from trendlab.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language is ``und``, go; all others stay as they are."""
+    """Documents without a letter go; all others stay, a missing language filled in by prediction."""
     return language.identified(docs, language.fit(docs))
 
 

@@ -64,3 +64,13 @@ def test_language_id_without_labels(spark, docs, awkward):
         df = spark.createDataFrame(rows, DOCS)
         assert language.fit(df) is None
         assert Counter(map(tuple, corpus_pipeline.language_id(spark, df, "").collect())) == lettered(rows)
+
+
+def test_language_id_fills_in_missing_labels(spark):
+    sounds = {"aa": "the ing and of ", "bb": "der ung sch ein "}
+    rows = [document(i, sounds["ab"[i % 2] * 2] * 6, "ab"[i % 2] * 2 if i % 5 else None) for i in range(60)]
+    rows += [document(100, "12 34", None), document(None, sounds["aa"] * 6, None), document(101, sounds["aa"], "zz")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = Counter(map(tuple, corpus_pipeline.language_id(spark, docs, "").collect()))
+    full = [(*r[:2], r[2] or ("aa" if r[1].startswith("the") else "bb"), *r[3:]) for r in rows if r[0] != 100]
+    assert got == Counter(full)

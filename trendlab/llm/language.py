@@ -226,13 +226,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return guessed.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter; null and letterless texts go. Columns as they are.
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter; null and letterless texts go.
 
-    These are the rows that ``predict`` gives a language. Without a model it can give none, which is
-    no fault of a text: the same rows stay.
+    A null language becomes the predicted one; labels and all other columns stay as they are. Without
+    a model no language can be predicted, which is no fault of a text: the same rows stay.
     """
     row = docs.select(F.col(text_col).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     shape = row.schema["row"].dataType.simpleString()
     guessed = row.mapInArrow(_predict(model), f"row {shape}, lettered boolean, lang_pred string, score double")
-    return guessed.filter("lettered").select("row.*")
+    told = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred"))
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    fields[lang_col] = F.coalesce(fields[lang_col], told)
+    return guessed.filter("lettered").select(*(f.alias(c) for c, f in fields.items()))
