@@ -74,3 +74,10 @@ def test_language_id_fills_in_missing_labels(spark):
     got = Counter(map(tuple, corpus_pipeline.language_id(spark, docs, "").collect()))
     full = [(*r[:2], r[2] or ("aa" if r[1].startswith("the") else "bb"), *r[3:]) for r in rows if r[0] != 100]
     assert got == Counter(full)
+
+
+def test_no_documents(spark, no_docs, tmp_path):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
