@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import caps, codes, language, minhash, mixing, pieces, pii, repair, secrets, token_counts, topk, whitening
+from . import caps, codes, language, minhash, mixing, pieces, packing, pii, repair, secrets, token_counts, topk, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +71,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(_table(spark, sf_dir, "conversations"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_token_counts, op3_language_id, op4_secret_ledger, op5_source_mixing,
     op6_top_k, op7_personal_data, op8_sentence_pieces, op9_token_codes, op10_embedding_near_dedup,
-    op11_embedding_whitening, op12_conversation_repair,
+    op11_embedding_whitening, op12_conversation_repair, op13_packing,
 )}
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
