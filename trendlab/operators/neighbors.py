@@ -9,13 +9,21 @@ shuffled, and hashing the (distinct) terms keeps blocks even whatever the texts
 from __future__ import annotations
 
 import math
+import sys
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trendlab.functions import l2_normalize, ngram_embedder
 from trendlab.functions.embedding import Embedder
 from trendlab.operators.tiles import tile_top_k
 
+# Executors need not have this package installed: the assignment pass travels with the task.
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Rows of a block: at 384 dimensions a tile holds two blocks of 50 MB each in DOUBLE.
 MAX_BLOCK_ROWS = 16_384
 MIN_BLOCK_ROWS = 256
@@ -57,36 +65,153 @@ def tasks_for(vectors: DataFrame) -> int:
     return max(parallelism(vectors), math.ceil(blocks * (blocks + 1) / 2 / TILES_PER_TASK))
 
 
+#: Centres fitted on at most this many vectors per block (a bounded sample, chosen by hash of term).
+CENTRE_SAMPLE = 4
+#: Slack of the bound on a product: float vectors, rounding to 9 digits.
+BOUND_SLACK = 1e-6
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into the shared folder named by the session (set here in local mode only)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trendlab-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
+def _assign(centres: np.ndarray):
+    """Nearest centre, angle to it and norm of each vector; unsound vectors get cluster -1."""
+    import pyarrow as pa
+
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    width = unit.shape[1]
+
+    def run(batches):
+        for b in batches:
+            vectors = b.column("vector")
+            cluster = np.full(b.num_rows, -1, dtype=np.int64)
+            angle, norm = np.full(b.num_rows, np.pi), np.zeros(b.num_rows)
+            lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            good = np.flatnonzero(lengths == width)
+            if len(good):
+                chosen = vectors.take(pa.array(good))
+                x = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                n = np.linalg.norm(x, axis=1)
+                ok = np.isfinite(n) & (n > 0)
+                dots = (x[ok] / n[ok, None]) @ unit.T
+                best = np.argmax(dots, axis=1)
+                idx = good[ok]
+                cluster[idx] = best
+                angle[idx] = np.arccos(np.clip(dots[np.arange(len(best)), best], -1.0, 1.0))
+                norm[idx] = n[ok]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("term"), vectors, pa.array(cluster), pa.array(angle), pa.array(norm)],
+                names=["term", "vector", "cluster", "angle", "norm"])
+    return run
+
+
+def _bounds(blocks: list, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest product any pair of two blocks can have, per pair of blocks (unsound blocks: +inf)."""
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    cl = np.array([b.cluster for b in blocks])
+    radius = np.array([b.radius for b in blocks])
+    high, low = np.array([b.high for b in blocks]), np.array([b.low for b in blocks])
+    between = np.arccos(np.clip(unit[np.maximum(cl, 0)] @ unit[np.maximum(cl, 0)].T, -1.0, 1.0))
+    closest = np.maximum(0.0, between - radius[:, None] - radius[None, :])
+    cos = np.cos(closest)
+    bound = np.where(cos >= 0, cos * np.outer(high, high), cos * np.outer(low, low))
+    bound = bound + BOUND_SLACK * np.outer(high, high)
+    bad = cl < 0
+    bound[bad, :] = np.inf
+    bound[:, bad] = np.inf
+    return bound, np.array([b.block for b in blocks])
+
+
 def knn_join(
     vectors: DataFrame, k: int = 20, threshold: float | None = None, block_rows: int | None = None,
-    tasks: int | None = None,
+    tasks: int | None = None, report: dict | None = None,
 ) -> DataFrame:
     """The ``k`` most similar terms of each term, itself included: ``term, neighbor, sim, pos``.
 
-    Neighbours are ordered by similarity, then term. ``threshold`` drops neighbours below it; given
-    here rather than filtered afterwards it gives the same rows, but already inside the tiles.
-    Cost is quadratic in the number of terms and so is the work of any exact method; data moved is
-    the vectors times the number of blocks. ``tasks`` should follow the number of tiles, see
-    ``tasks_for``; by default it is the session's parallelism.
+    Neighbours are ordered by similarity (the product of the vectors), then term. ``threshold``
+    drops neighbours below it. Exact: terms are grouped around centres (the vectors of smallest
+    term hash, ``CENTRE_SAMPLE`` per block wanted, best of them by an assignment pass) into blocks of
+    at most ``block_rows`` (larger clusters are split by hash); each block knows its angular radius
+    and the range of its norms. A tile of two blocks is computed only if its bound on the product,
+    from angle(c1, c2) - r1 - r2 and the norms, reaches the bar: the threshold, and without one the
+    k-th best product that every term of either block already has in its own block. Terms without
+    a sound vector (null, other length, zero, not finite) are never pruned and find nothing.
+    ``report`` receives the tiles computed and possible.
     """
     tasks = tasks or parallelism(vectors)
-    # Terms without a vector are left out inside the tiles. A filter here would be pushed below the
-    # de-duplication of the vocabulary and embed every row of the log.
-    blocked = vectors.withColumn("_n", _block_count(vectors, tasks, block_rows)).withColumn(
-        "block", F.pmod(F.xxhash64("term"), F.col("_n")).cast("int")
-    )
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda other: F.struct(
-            F.least("block", other).alias("left"), F.greatest("block", other).alias("right")
-        ),
-    )
-    tiled = blocked.select("term", "vector", "block", F.inline(pairs).alias("left", "right"))
-    # An explicit partition count: tiles are small in bytes but heavy in work, and must not be
-    # coalesced by their size.
-    tiles = tiled.repartition(tasks, "left", "right").groupBy("left", "right")
-    found = tiles.applyInArrow(
-        tile_top_k(k, threshold), "term string, neighbor string, sim double"
-    )
+    vectors = materialized(vectors.select("term", "vector"))
+    n = vectors.count()
+    target = block_rows or MAX_BLOCK_ROWS
+    wanted = max(1, math.ceil(n / target), min(math.ceil(n / MIN_BLOCK_ROWS), math.ceil(math.sqrt(2 * TILES_PER_TASK * tasks))))
+    sample = (vectors.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("term"), "term")
+              .limit(wanted * CENTRE_SAMPLE).collect())
+    widths = [len(r.vector) for r in sample]
+    width = max(set(widths), key=widths.count) if widths else 0
+    pool = np.array([r.vector for r in sample if len(r.vector) == width], dtype=np.float64).reshape(-1, width)
+    pool = pool[np.isfinite(pool).all(axis=1) & (np.linalg.norm(pool, axis=1) > 0)] if len(pool) else pool
+    if len(pool) == 0:
+        pool = np.ones((1, max(width, 1)))
+    # Farthest-point choice among the sample: centres spread over the sphere.
+    unit = pool / np.linalg.norm(pool, axis=1, keepdims=True)
+    chosen = [0]
+    far = 1 - unit @ unit[0]
+    while len(chosen) < min(wanted, len(unit)):
+        nxt = int(np.argmax(far))
+        if far[nxt] <= 0:
+            break
+        chosen.append(nxt)
+        far = np.minimum(far, 1 - unit @ unit[nxt])
+    centres = pool[chosen]
+    schema = T.StructType([vectors.schema["term"], vectors.schema["vector"], T.StructField("cluster", T.LongType()),
+                           T.StructField("angle", T.DoubleType()), T.StructField("norm", T.DoubleType())])
+    assigned = vectors.mapInArrow(_assign(centres), schema)
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("size"))
+    split = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(target)))
+    blocked = materialized(
+        assigned.join(F.broadcast(sizes), "cluster").withColumn(
+            "block", (F.col("cluster") * F.lit(1 << 20) + F.pmod(F.xxhash64("term"), split)).cast("long"))
+        .drop("size"))
+    blocks = blocked.groupBy("block").agg(
+        F.first("cluster").alias("cluster"), F.max("angle").alias("radius"),
+        F.max("norm").alias("high"), F.min("norm").alias("low")).collect()
+    bound, ids = _bounds(blocks, centres)
+    spark = vectors.sparkSession
+
+    def run(pairs: list[tuple[int, int]]) -> DataFrame:
+        tiles = spark.createDataFrame(pairs, "left long, right long")
+        tiles = F.broadcast(tiles) if len(pairs) * 16 <= 32 << 20 else tiles
+        rows = blocked.select("term", "vector", "block")
+        dealt = rows.join(tiles, rows["block"] == tiles["left"]).unionByName(
+            rows.join(tiles, (rows["block"] == tiles["right"]) & (tiles["left"] != tiles["right"])))
+        return (dealt.repartition(max(1, min(tasks, len(pairs))), "left", "right").groupBy("left", "right")
+                .applyInArrow(tile_top_k(k, threshold), "term string, neighbor string, sim double"))
+
+    m = len(ids)
+    own = run([(int(b), int(b)) for b in ids]) if m else None
+    bar = np.full(m, -np.inf if threshold is None else threshold)
+    if m and threshold is None:
+        own = materialized(own)
+        kth = {r.block: r.kth for r in own.join(blocked.select("term", "block"), "term").groupBy("term", "block")
+               .agg(F.count("*").alias("c"), F.min("sim").alias("s"))
+               .groupBy("block").agg(F.min(F.when(F.col("c") >= k, F.col("s"))).alias("kth"),
+                                     F.min(F.when(F.col("c") >= k, 1).otherwise(0)).alias("full")).collect()
+               if r.kth is not None and r.full}
+        bar = np.array([kth.get(int(b), -np.inf) for b in ids])
+    pairs = [(int(ids[i]), int(ids[j])) for i in range(m) for j in range(i + 1, m)
+             if bound[i, j] >= min(bar[i], bar[j])]
+    if report is not None:
+        report.update(tiles=m + len(pairs), possible=m * (m + 1) // 2, blocks=m)
+    found = own if not pairs else own.unionByName(run(pairs))
+    if found is None:
+        return spark.createDataFrame([], "term string, neighbor string, sim double, pos int")
     by_similarity = Window.partitionBy("term").orderBy(F.desc("sim"), F.asc("neighbor"))
     return found.withColumn("pos", F.row_number().over(by_similarity)).where(F.col("pos") <= k)
