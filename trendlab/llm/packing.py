@@ -27,6 +27,9 @@ CAPACITY, END_ID = 2048, 1
 #: Open windows per task; leftover groups merged at once.
 OPEN_WINDOWS, MERGE_FAN_IN = 8, 32
 
+#: Characters of text handed to the tokenizer at once: its encodings hold far more than the ids.
+ENCODE_CHARS = 1 << 20
+
 _TOKENIZERS: dict = {}
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -35,6 +38,9 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core, no thread pool
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
@@ -111,6 +117,18 @@ def _batch(cols: dict) -> pa.RecordBatch:
                                       names=list(cols))
 
 
+def _slices(texts: list[str], most: int = ENCODE_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` characters together (a longer text alone)."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,10 +138,11 @@ def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):
         tok = _tokenizer(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            encoded = tok.encode_batch(texts, add_special_tokens=False)
-            for doc_id, e in zip(b.column("doc_id").to_pylist(), encoded):
-                ids = np.append(np.asarray(e.ids, dtype=np.int64), end_id)
-                packer.add(doc_id, 0, ids, len(ids))
+            doc_ids = b.column("doc_id").to_pylist()
+            for lo, hi in _slices(texts):  # a bounded amount of text in the library at once
+                for doc_id, e in zip(doc_ids[lo:hi], tok.encode_batch_fast(texts[lo:hi], add_special_tokens=False)):
+                    ids = np.append(np.asarray(e.ids, dtype=np.int64), end_id)
+                    packer.add(doc_id, 0, ids, len(ids))
             if packer.emitted:
                 yield _batch(_rows(packer.emitted, False, part))
                 packer.emitted = []
