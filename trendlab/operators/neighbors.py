@@ -156,9 +156,10 @@ def knn_join(
               .limit(wanted * CENTRE_SAMPLE).collect())
     widths = [len(r.vector) for r in sample]
     width = max(set(widths), key=widths.count) if widths else 0
-    pool = np.array([r.vector for r in sample if len(r.vector) == width], dtype=np.float64).reshape(-1, width)
+    kept = [r.vector for r in sample if len(r.vector) == width]
+    pool = np.array(kept, dtype=np.float64).reshape(len(kept), width) if width else np.zeros((0, 1))
     pool = pool[np.isfinite(pool).all(axis=1) & (np.linalg.norm(pool, axis=1) > 0)] if len(pool) else pool
-    if len(pool) == 0:
+    if len(pool) == 0:  # nothing sound to centre on: one centre, every pair is computed
         pool = np.ones((1, max(width, 1)))
     # Farthest-point choice among the sample: centres spread over the sphere.
     unit = pool / np.linalg.norm(pool, axis=1, keepdims=True)
@@ -183,7 +184,7 @@ def knn_join(
     blocks = blocked.groupBy("block").agg(
         F.first("cluster").alias("cluster"), F.max("angle").alias("radius"),
         F.max("norm").alias("high"), F.min("norm").alias("low")).collect()
-    bound, ids = _bounds(blocks, centres)
+    bound, ids = _bounds(blocks, centres) if blocks else (np.zeros((0, 0)), np.zeros(0, dtype=np.int64))
     spark = vectors.sparkSession
 
     def run(pairs: list[tuple[int, int]]) -> DataFrame:
