@@ -18,19 +18,26 @@ from trendlab.fixtures import (
     EMBEDDING_THRESHOLD, SEED, TERM_CAP, embedding_vectors, table, term_log,
 )
 from trendlab.functions import (
-    char_count, cosine, inverse_rank, l2_normalize, log_rank, ngram_embedder, parse_date, parse_rank, pearson,
+    char_count, cosine, inverse_rank, l2_normalize, log_rank, ngram_embedder, parse_date, parse_rank, parse_time,
+    pearson,
     tokens, word_count,
 )
 from trendlab.operators import insights, logs, mapping, matrix, neighbors, recommend
 
-# The operators for training data and their pipeline are an optional part.
+# The operators for training data and their pipeline are an optional part: only their absence is
+# tolerated; an error inside them is raised.
+_OPTIONAL = ("trendlab.llm", "trendlab.llm.queries", "corpus_pipeline")
 try:
     from trendlab.llm.queries import ORACLES as _LLM_ORACLES, QUERIES as _LLM_QUERIES
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in _OPTIONAL:
+        raise
     _LLM_ORACLES, _LLM_QUERIES = {}, {}
 try:
     import corpus_pipeline as _pipeline
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in _OPTIONAL:
+        raise
     _pipeline = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +148,23 @@ def _q_parse_date(spark, sf):
     )
 
 
+def _q_parse_time(spark, sf):
+    ship, line = F.col("l_shipdate"), F.col("l_linenumber")
+    hour, minute = F.col("l_orderkey") % 24, F.col("l_partkey") % 60
+    hh, mm = F.lpad(hour.cast("string"), 2, "0"), F.lpad(minute.cast("string"), 2, "0")
+    y, m, d = (F.date_format(ship, f).cast("int").cast("string") for f in ("yyyy", "M", "d"))
+    text = (
+        F.when(line == 1, F.concat(F.date_format(ship, "yyyy-MM-dd"), F.lit("T"), hh, F.lit(":"), mm, F.lit("+08:00")))
+        .when(line == 2, F.concat(m, F.lit("/"), d, F.lit("/"), y, F.lit(" "), ((hour + 11) % 12 + 1).cast("string"),
+                                  F.lit(":"), mm, F.when(hour < 12, F.lit(" AM")).otherwise(F.lit(" PM"))))
+        .when(line == 3, F.concat(y, F.lit("年"), m, F.lit("月"), d, F.lit("日 "), hh, F.lit(":"), mm))
+        .when(line == 4, F.concat(d, F.lit("."), m, F.lit("."), y, F.lit(" "), hh, F.lit(":"), mm))
+        .when(line == 5, F.concat(F.date_format(ship, "MMM"), F.lit(" "), d, F.lit(", "), y, F.lit(" "), hh, F.lit(":"), mm))
+        .otherwise(F.col("l_linestatus"))
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse_time(text).alias("report_time"))
+
+
 def _q_log_rank(spark, sf):
     value = log_rank(F.col("rank"))
     return _best(spark, sf).select(
@@ -403,6 +427,7 @@ def queries() -> dict[str, Query]:
     return {
         "parse_rank": _q_parse_rank,
         "parse_date": _q_parse_date,
+        "parse_time": _q_parse_time,
         "clean_log": _q_clean_log,
         "clean_log_keep_empty_dates": _q_clean_log_keep,
         "date_axis_keep_empty_dates": _q_keep_empty_dates,
@@ -630,6 +655,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, CAST(coalesce(try_strptime(text, '%Y-%m-%d'),
                    try_strptime(text, '%Y/%m/%d'), try_strptime(text, '%Y%m%d'),
                    try_strptime(text, '%Y-%m-%d %H:%M:%S')) AS DATE) AS report_date FROM t""",
+        "parse_time": """
+            SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber BETWEEN 1 AND 5 THEN
+                   CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS INTEGER))
+                   + to_minutes(CAST(l_partkey % 60 AS INTEGER)) END AS report_time FROM lineitem""",
         "clean_log": _sql("SELECT l_orderkey, l_linenumber, term, report_date, rank FROM clean", "clean"),
         "clean_log_keep_empty_dates": _sql(
             "SELECT l_orderkey, l_linenumber, term, report_date, rank FROM ranked_log WHERE report_date IS NOT NULL",

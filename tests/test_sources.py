@@ -227,3 +227,37 @@ def test_reports_of_one_day_stay_apart(spark, tmp_path):
 def test_axis_without_times_is_of_dates(spark, tmp_path):
     folder, out = write_reports(tmp_path, a=f"{HEADER}\nred shoe,2024-01-08,5\nred shoe,2024/1/15,6\n")
     assert run_pipeline(spark, folder, out).matrix.dates.schema["report_date"].dataType.simpleString() == "date"
+
+
+def test_times_are_kept_as_written(spark):
+    from trendlab.functions import parse_time
+
+    texts = {
+        "2024-01-08T08:00+08:00": "2024-01-08 08:00:00", "2024-01-08 8:00 PM": "2024-01-08 20:00:00",
+        "2024.1.8 08:00": "2024-01-08 08:00:00", "8.1.2024 08:00": "2024-01-08 08:00:00",
+        "20240108 08:00": "2024-01-08 08:00:00", "2024年1月8日 08:00": "2024-01-08 08:00:00",
+        "Jan 8, 2024 08:00": "2024-01-08 08:00:00", "1/8/2024 8:00 PM": "2024-01-08 20:00:00",
+        "2024/3/10 02:30": "2024-03-10 02:30:00", "2024-01-08 12:00 AM": "2024-01-08 00:00:00",
+        "2024-01-08 13:00 PM": "None", "2024-02-30": "None", "13/01/2024": "None",
+    }
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # a zone with summer time
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = {r.t: str(r.ts) for r in df.select("t", parse_time(F.col("t")).alias("ts")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == texts
+
+
+def test_day_first_file_by_vote(spark, tmp_path):
+    day_first = "".join(f"t{i},{d}/01/2024 08:00,5\n" for i, d in enumerate([3, 13, 25]))
+    ambiguous = "".join(f"u{i},{d}/02/2024,5\n" for i, d in enumerate([3, 4]))
+    month_first = "v,01/13/2024,5\nw,3/4/2024,5\n"
+    folder, _ = write_reports(tmp_path, a=f"{HEADER}\n{day_first}", b=f"{HEADER}\n{ambiguous}", c=f"{HEADER}\n{month_first}")
+    log = src.read_term_log(spark, folder, time_axis=True)
+    got = {r.term: str(r.report_date) for r in log.collect()}
+    assert got == {"t0": "2024-01-03 08:00:00", "t1": "2024-01-13 08:00:00", "t2": "2024-01-25 08:00:00",
+                   "u0": "2024-03-02 00:00:00", "u1": "2024-04-02 00:00:00",
+                   "v": "2024-01-13 00:00:00", "w": "2024-03-04 00:00:00"}
+    votes = {r.file.rsplit("/", 1)[-1]: (r.day_first, r.ambiguous) for r in src.date_layouts(spark, folder).collect()}
+    assert votes == {"a.csv": (True, False), "b.csv": (False, True), "c.csv": (False, False)}

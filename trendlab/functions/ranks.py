@@ -6,13 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
+from trendlab.functions.dates import read_time
+
 # Spark's cast also takes Java literals such as "1d" and "NaN"; only plain numbers are ranks.
 _NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
-_ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:[ T].*)?\s*$"
-_OTHER_DATES = (
-    "yyyy/M/d[ H:m[:s]]", "yyyyMMdd", "M/d/yyyy[ H:m[:s]]", "yyyy.M.d", "d.M.yyyy", "MMM d, yyyy", "d MMM yyyy",
-    "MMMM d, yyyy", "d MMMM yyyy", "yyyy年M月d日",
-)
 
 
 def _digits(c: Column) -> Column:
@@ -34,27 +31,25 @@ def parse_rank(c: Column) -> Column:
     return F.when(is_rank(c), rank_value(c))
 
 
-def parse_date(c: Column, formats: Iterable[str] = ()) -> Column:
-    """Date text to DATE: ISO first, then ``formats``, then common layouts; anything else becomes null.
+def parse_date(c: Column, formats: Iterable[str] = (), day_first: Column | bool = False,
+               dot_day_first: Column | bool = True) -> Column:
+    """Date text to DATE: ``formats`` first, then the layouts of ``trendlab.functions.dates``; else null.
 
-    A time of day is cut off, see ``parse_time``. Months may be written out; where day and month could be either, the
-    month comes first unless a format says otherwise.
+    A time of day is cut off, see ``parse_time``. Months may be written out. In ``a/b/yyyy`` the
+    month comes first unless ``day_first`` (a column, e.g. a file's vote, or a constant) says otherwise;
+    in ``a.b.yyyy`` the day, unless ``dot_day_first`` is false.
     """
-    text = F.trim(c)
-    iso = F.when(text.rlike(_ISO_DATE), F.try_to_date(text))
-    return F.coalesce(iso, *(F.try_to_date(text, fmt) for fmt in (*formats, *_OTHER_DATES)))
+    return read_time(c, tuple(formats), day_first, dot_day_first).cast("date")
 
 
-def parse_time(c: Column, formats: Iterable[str] = ()) -> Column:
+def parse_time(c: Column, formats: Iterable[str] = (), day_first: Column | bool = False,
+               dot_day_first: Column | bool = True) -> Column:
     """The texts ``parse_date`` reads to TIMESTAMP_NTZ with their time of day, midnight where there is none.
 
-    The time is the written one: a zone after it is ignored. Layouts other than ISO are read in the
-    session's zone. An ISO date with something after it that is no time is that day's midnight.
+    The written time is kept: a zone after it is ignored, AM/PM is applied, and no session zone
+    takes part, so a time that a summer-time change skips stays as written.
     """
-    text = F.trim(c)
-    iso = F.when(text.rlike(_ISO_DATE), F.coalesce(text.try_cast("timestamp_ntz"), F.try_to_date(text).cast("timestamp_ntz")))
-    layouts = (*formats, *_OTHER_DATES)
-    return F.coalesce(iso, *(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in layouts))
+    return read_time(c, tuple(formats), day_first, dot_day_first)
 
 
 def has_time(c: Column) -> Column:

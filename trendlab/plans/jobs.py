@@ -13,7 +13,8 @@ from trendlab.functions import has_time
 from trendlab.functions.embedding import Embedder
 from trendlab.operators import logs, mapping as m, matrix as mx, neighbors
 from trendlab.sources import (
-    LogColumns, Matrix, accepted, file_quality_report, inspect_files, load_features, read_term_log, run_summary,
+    LogColumns, Matrix, accepted, date_layouts, file_quality_report, inspect_files, load_features, read_term_log,
+    run_summary,
     write_change_log, write_mapped, write_mapping_sample, write_matrix, write_stats, write_vectors,
 )
 
@@ -138,7 +139,8 @@ def run_pipeline(
     apart, else a DATE.
     """
     files = _stored(inspect_files(spark, path, cols.required()), f"{out}/files")
-    log = read_term_log(spark, path, cols, files=files, date_formats=date_formats, time_axis=True)
+    layouts = _stored(date_layouts(spark, path, cols, files=files), f"{out}/date_layouts")
+    log = read_term_log(spark, path, cols, files=files, date_formats=date_formats, time_axis=True, day_first=layouts)
     raw = _stored(log, f"{out}/log")
     if not raw.where(has_time(F.col("report_date"))).limit(1).count():
         raw = raw.withColumn("report_date", F.col("report_date").cast("date"))

@@ -10,6 +10,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trendlab.functions import parse_date, parse_time
+from trendlab.functions.dates import layout_votes
 from trendlab.sources.files import GBK, inspect_files
 
 # Fixed value: texts a pandas reader takes for missing by default. Some are real search terms, so
@@ -21,6 +22,7 @@ PANDAS_NA = (
 _CORRUPT = "_corrupt"
 # Names the log gives to columns of its own; a report's column of such a name gets a number.
 _OWN = ("term", "report_date", "rank_raw", "file", "malformed")
+_DAY_FIRST, _DOT = "__day_first_of_file", "__dot_day_first_of_file"
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,7 @@ def read_term_log(
     files: DataFrame | None = None,
     date_formats: Iterable[str] = (),
     time_axis: bool = False,
+    day_first: bool | DataFrame | None = None,
 ) -> DataFrame:
     """All reports of a folder: ``term, report_date DATE, rank_raw STRING``, other columns, ``file, malformed``.
 
@@ -99,8 +102,33 @@ def read_term_log(
     encoding fits, give no rows: see ``file_quality_report``. ``files`` takes a stored
     ``inspect_files`` result and saves its pass over the text. ``na_values`` lists texts to read as
     missing; by default only an empty field is. ``date_formats`` are tried before the common layouts.
-    ``time_axis`` makes ``report_date`` a TIMESTAMP_NTZ that keeps times of day apart.
+    ``time_axis`` makes ``report_date`` a TIMESTAMP_NTZ that keeps times of day apart. Whether
+    ``a/b/yyyy`` (and ``a.b.yyyy``) is day or month first is decided per file: by a vote over its
+    dates (``None``, one more pass over the date column), by a stored vote (``date_layouts``), or for
+    all files (a bool; dotted dates are then day first).
     """
+    log = _text_log(spark, path, cols, na_values, glob, multi_line, files)
+    parse = parse_time if time_axis else parse_date
+    order = log.columns
+    if isinstance(day_first, bool):
+        first, dot = F.lit(day_first), F.lit(True)
+    else:
+        votes = layout_votes(log) if day_first is None else day_first
+        log = log.join(votes.select("file", F.col("day_first").alias(_DAY_FIRST), F.col("dot_day_first").alias(_DOT)),
+                       "file", "left")
+        first, dot = F.coalesce(F.col(_DAY_FIRST), F.lit(False)), F.coalesce(F.col(_DOT), F.lit(True))
+    log = log.withColumn("report_date", parse(F.col("report_date"), date_formats, first, dot))
+    return log.select(*(F.col(f"`{c}`") for c in order))
+
+
+def date_layouts(spark: SparkSession, path: str, cols: LogColumns = LogColumns(), glob: str = "*.csv",
+                 multi_line: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """Per file with dates of the form ``a/b/yyyy``: ``file, day_first, ambiguous`` (see ``layout_votes``)."""
+    return layout_votes(_text_log(spark, path, cols, None, glob, multi_line, files))
+
+
+def _text_log(spark, path, cols, na_values, glob, multi_line, files) -> DataFrame:
+    """The log with ``report_date`` as written."""
     inspected = inspect_files(spark, path, cols.required(), glob) if files is None else files
     usable = inspected.where(F.array_contains("columns", cols.term))
     groups = usable.groupBy("encoding", "columns").agg(F.collect_list("file").alias("files")).collect()
@@ -114,6 +142,5 @@ def read_term_log(
         texts = list(na_values)
         names = [n for n in log.columns if n not in ("file", "malformed")]
         log = log.withColumns({n: F.when(~F.col(f"`{n}`").isin(texts), F.col(f"`{n}`")) for n in names})
-    log = log.withColumn("report_date", (parse_time if time_axis else parse_date)(F.col("report_date"), date_formats))
     first = ["term", "report_date", "rank_raw"]
     return log.select(*first, *(F.col(f"`{c}`") for c in log.columns if c not in first))
