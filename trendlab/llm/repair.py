@@ -120,21 +120,22 @@ def _classified(rows: DataFrame, chunk_rows: int) -> DataFrame:
 
 # ------------------------------------------------------------------ per chunk, in Python workers
 
-def _step(cls: int, initial: str, after: np.ndarray) -> np.ndarray:
+def _step(cls: int, initial: str, after: list[int]) -> list[int]:
     """Costs-to-go before one row's inserts, from the costs after it."""
-    here = np.empty(4, dtype=np.int64)
     extra = TRUNCATED if cls == _TRUNC else 0
+    here = []
     for s in range(4):
         best = DELETE + after[s]
-        if cls in (_OK, _TRUNC):
-            if (s, initial) in _KEEP:
-                best = min(best, KEEP + extra + after[_KEEP[s, initial]])
+        if cls == _OK or cls == _TRUNC:
+            to = _KEEP.get((s, initial))
+            if to is not None:
+                best = min(best, KEEP + extra + after[to])
             best = min(best, REROLE + extra + after[_NEXT[s][1]])
-        here[s] = best
+        here.append(best)
     return _inserted(here)
 
 
-def _inserted(here: np.ndarray) -> np.ndarray:
+def _inserted(here: list[int]) -> list[int]:
     """Inserts at one gap: a state may go on to the next by an insert (cycles cost more than 0)."""
     for _ in range(3):
         for s in range(4):
@@ -142,12 +143,12 @@ def _inserted(here: np.ndarray) -> np.ndarray:
     return here
 
 
-def _backward(cls: np.ndarray, initials: list[str], vin: np.ndarray, last: bool) -> list[np.ndarray]:
+def _backward(cls: list[int], initials: list[str], vin: list[int], last: bool) -> list[list[int]]:
     """Costs-to-go at every gap of a chunk, from the gap after its last row backwards."""
     h = [None] * (len(cls) + 1)
-    h[-1] = _END.copy() if last else vin.copy()
+    h[-1] = _END.tolist() if last else list(vin)
     for i in range(len(cls) - 1, -1, -1):
-        h[i] = _step(int(cls[i]), initials[i], h[i + 1])
+        h[i] = _step(cls[i], initials[i], h[i + 1])
     return h
 
 
@@ -182,36 +183,41 @@ def _trace(cls, initials, h, state: int, last: bool) -> tuple[int, int, str, lis
             raise AssertionError("no optimal edit")
 
 
-def _chunk_rows(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("pos", kind="stable")
-    return pdf["cls"].to_numpy(), [r[:1] for r in pdf["role"]], pdf
+def _per_chunk(fn, columns: list[str]):
+    """A function over a block of many chunks (rows in any order) that calls ``fn`` once per chunk
+    with its rows as lists in ``pos`` order; one output row per chunk."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["chunk", "pos"], kind="stable")
+        chunk = pdf["chunk"].to_numpy()
+        cuts = (np.flatnonzero(np.diff(chunk)) + 1).tolist()
+        cols = {c: pdf[c].tolist() for c in pdf.columns}
+        cols["initial"] = [r[:1] for r in cols["role"]]
+        out = [fn({c: v[a:b] for c, v in cols.items()}) for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
+        return pd.DataFrame(out, columns=columns)
+    return run
 
 
-def _backward_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-    cls, initials, pdf = _chunk_rows(pdf)
-    vin = np.array(pdf["vin"].iloc[0], dtype=np.int64)
-    h = _backward(cls, initials, vin, bool(pdf["last"].iloc[0]))
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "vout": [h[0].tolist()]})
+def _backward_pass(c: dict) -> dict:
+    h = _backward(c["cls"], c["initial"], [int(v) for v in c["vin"][0]], bool(c["last"][0]))
+    return {"chunk": c["chunk"][0], "vout": h[0]}
 
 
-def _trace_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-    cls, initials, pdf = _chunk_rows(pdf)
-    last = bool(pdf["last"].iloc[0])
-    h = _backward(cls, initials, np.array(pdf["vin"].iloc[0], dtype=np.int64), last)
+def _trace_pass(c: dict) -> dict:
+    last = bool(c["last"][0])
+    h = _backward(c["cls"], c["initial"], [int(v) for v in c["vin"][0]], last)
     ends, costs = [], []
     for s in range(4):
-        end, cost, _, _ = _trace(cls, initials, h, s, last)
+        end, cost, _, _ = _trace(c["cls"], c["initial"], h, s, last)
         ends.append(end)
         costs.append(cost)
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "ends": [ends], "costs": [costs]})
+    return {"chunk": c["chunk"][0], "ends": ends, "costs": costs}
 
 
-def _lines_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-    cls, initials, pdf = _chunk_rows(pdf)
-    last = bool(pdf["last"].iloc[0])
-    h = _backward(cls, initials, np.array(pdf["vin"].iloc[0], dtype=np.int64), last)
-    _, cost, audit, kept = _trace(cls, initials, h, int(pdf["state"].iloc[0]), last)
-    roles, texts = pdf["role"].tolist(), pdf["text"].tolist()
+def _lines_pass(c: dict) -> dict:
+    last, initials = bool(c["last"][0]), c["initial"]
+    h = _backward(c["cls"], initials, [int(v) for v in c["vin"][0]], last)
+    _, cost, audit, kept = _trace(c["cls"], initials, h, int(c["state"][0]), last)
+    roles, texts = c["role"], c["text"]
     lines = []
     for row, initial, _ in kept:
         if row < 0:
@@ -219,11 +225,9 @@ def _lines_pass(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             role = roles[row] if initials[row] == initial else _ROLE[initial]
             lines.append(f"{role}:{texts[row]}")
-    ini = [i for i in initials]
-    illegal = sum(1 for a, b in zip(ini, ini[1:]) if a + b not in ("su", "ua", "au"))
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "audit": [audit], "cost": [cost],
-                         "lines": [lines], "first": [ini[0] if ini else ""], "final": [ini[-1] if ini else ""],
-                         "illegal": [illegal]})
+    illegal = sum(1 for a, b in zip(initials, initials[1:]) if a + b not in ("su", "ua", "au"))
+    return {"chunk": c["chunk"][0], "audit": audit, "cost": cost, "lines": lines,
+            "first": initials[0] if initials else "", "final": initials[-1] if initials else "", "illegal": illegal}
 
 
 _VOUT = "chunk long, vout array<long>"
@@ -265,8 +269,9 @@ def repair(conversations: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
     def run(vin: DataFrame, fn, schema: str, of: DataFrame = slim) -> DataFrame:
         vin = stored(vin, "conversation-in")
-        return stored(of.join(small(vin, 96), "chunk").groupBy("chunk").applyInPandas(fn, schema),
-                      "conversation-pass")
+        names = [f.split()[0] for f in schema.split(", ")]
+        return stored(of.join(small(vin, 96), "chunk").groupBy(F.shiftright("chunk", 33).alias("block"))
+                      .applyInPandas(_per_chunk(fn, names), schema), "conversation-pass")
 
     def shift(d: Column) -> Column:
         return F.zip_with(d, F.col("vin"), lambda a, b: a - b)
