@@ -18,11 +18,13 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is missing (a plain local session) a new temporary folder is used, which is
-    right only because driver and executors are then one process.
+    Where the setting is missing in a local session a new temporary folder is used, which is right
+    only because driver and executors are then one process; off local mode that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="trendlab-llm-"))
         base = _OWN[0]
