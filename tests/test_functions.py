@@ -103,3 +103,12 @@ def test_parse_time(spark):
     times = [day, day.replace(hour=8), day.replace(hour=20), day.replace(hour=20, minute=15, second=30), day.replace(hour=20, microsecond=500_000), day, day, None, None]
     assert values(spark, texts, fn.parse_time) == times
     assert values(spark, texts, lambda c: fn.parse_time(c).cast("date")) == values(spark, texts, fn.parse_date)
+
+
+def test_dates_are_matched_once_per_row(spark):
+    df = spark.createDataFrame([("1/6/2024 3:04 PM",), ("Jan 6, 2024 15:04",), ("\u0002",), (None,)], "x string")
+    for parse in (fn.parse_time, fn.parse_date):
+        plan = df.select(parse(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 1
+    at = dt.datetime(2024, 1, 6, 15, 4)
+    assert [r.y for r in df.select(fn.parse_time(F.col("x")).alias("y")).collect()] == [at, at, None, None]

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trendlab.functions.arrays import bind
+
 # English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -45,10 +47,14 @@ def date_parts(c: Column) -> Column:
     """A struct of the parts of a date text (all strings, empty where absent); null if no layout fits."""
     text = c.cast("string")
     out = F.regexp_replace(text, PATTERN, "\u0002" + _SEP.join(_PARTS.values()))
-    parts = F.split(out, _SEP)
-    fields = [F.when(F.startswith(out, F.lit("\u0002")), F.regexp_replace(parts[i], "\u0002", "")).alias(k)
-              for i, k in enumerate(_PARTS)]
-    return F.struct(*fields)
+
+    def fields(parts: Column) -> Column:
+        fits = F.startswith(parts[0], F.lit("\u0002"))
+        return F.struct(*[
+            F.when(fits, F.get(parts, F.lit(i)) if i else F.replace(parts[0], F.lit("\u0002"), F.lit(""))).alias(k)
+            for i, k in enumerate(_PARTS)])
+
+    return bind(F.split(out, _SEP), fields)
 
 
 def _number(c: Column) -> Column:
@@ -79,8 +85,12 @@ def time_of(p: Column, day_first: Column | bool = False, dot_day_first: Column |
     """TIMESTAMP_NTZ from ``date_parts``; midnight without a time, null if a part is out of range.
 
     ``a/b/yyyy`` and ``a-b-yyyy`` are month first unless ``day_first``; ``a.b.yyyy`` is day first
-    unless ``dot_day_first`` is false.
+    unless ``dot_day_first`` is false. The parts are computed once per row, see ``bind``.
     """
+    return bind(p, lambda parts: _time_of(parts, day_first, dot_day_first))
+
+
+def _time_of(p: Column, day_first: Column | bool, dot_day_first: Column | bool) -> Column:
     first = _first(p, _lit(day_first), _lit(dot_day_first))
     hour = F.coalesce(_number(p["h"]), F.lit(0))
     ap = F.lower(F.substring(p["ap"], 1, 1))
