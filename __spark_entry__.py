@@ -198,8 +198,9 @@ def _q_l2_normalize(spark, sf):
 
 
 def _q_embed_terms(spark, sf):
-    vectors = neighbors.embed_terms(_vocab(spark, sf))
-    return vectors.select("term", F.posexplode("vector").alias("at", "x")).select(
+    vectors = neighbors.embed_terms(_vocab(spark, sf), spread=True)
+    # An inner explode implies a filter on the vector, which Catalyst would push below the distinct terms.
+    return vectors.select("term", F.posexplode_outer("vector").alias("at", "x")).where(F.col("at").isNotNull()).select(
         "term", "at", F.round(F.col("x").cast("double"), 6).alias("value")
     )
 
@@ -338,7 +339,7 @@ def _q_duplicate_terms(spark, sf):
 
 
 def _q_load_features(spark, sf):
-    vectors = neighbors.embed_terms(_vocab(spark, sf))
+    vectors = neighbors.embed_terms(_vocab(spark, sf), spread=True)
     joined = recommend.load_features(_curves(spark, sf), vectors)
     return joined.select(
         "term", F.size("vector").alias("width"), F.size("curve").alias("dates"),

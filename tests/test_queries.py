@@ -51,3 +51,18 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_terms_are_embedded_once_and_in_all_tasks(spark, tmp_path):
+    part = [(i, f"part {i % 3}", "Brand#1", "TYPE") for i in range(6)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    line = spark.range(12).selectExpr(
+        "id l_orderkey", "id % 6 l_partkey", "1 l_linenumber", "0.0D l_extendedprice", "0.0D l_discount",
+        "0.0D l_tax", "'N' l_returnflag", "timestamp_ntz'1996-01-01 00:00:00' l_shipdate")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entry.queries()["embed_terms"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert plan.index("md5(") < plan.index("Repartition") < plan.index("Aggregate")
+    assert out.count() == 3 * 64
