@@ -424,3 +424,25 @@ def test_empty_tables(spark, no_docs, tmp_path):
     assert pieces.encode(no_docs, PIECES).count() == 0
     codes.write_codes(no_docs, WORDS, str(tmp_path / "none"))
     assert codes.read_codes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_words_in_use_are_kept_when_sentence_piece_memory_is_full(monkeypatch):
+    from trendlab.llm import pieces
+
+    learned = []
+    encode_words = pieces.encode_words
+
+    def counted(model, words):
+        learned.extend(words)
+        return encode_words(model, words)
+
+    monkeypatch.setattr(pieces, "encode_words", counted)
+    model = pieces.Model.of({"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4}, [-3.0, -4.0, -5.0, -1.0, -2.0], unknown=9)
+    small, large = pieces.Encoder(model, remembered=2), pieces.Encoder(model)
+    texts = ["ab ba aa\nb", "ab a", "ab ba", "ab bb\nb", "ab b"]
+    assert [small([t]) for t in texts] == [large([t]) for t in texts]
+    learned.clear()
+    again = pieces.Encoder(model, remembered=2)
+    for t in texts:
+        again([t])
+    assert learned.count("▁ab") == 1

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-#: Words a worker remembers before it starts afresh; bounds its memory, not the result.
-REMEMBERED = 150_000
+#: Words a worker remembers before it forgets those no longer in use; bounds its memory, not the result.
+REMEMBERED = 400_000
 _MARKED = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -149,6 +149,7 @@ class Encoder:
         self.model, self.remembered = model, remembered
         self.plain: dict[str, bytes] = {}  # words without a mark
         self.marked: dict[str, bytes] = {}  # words after a mark
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both, of the generation before
         # A run of marks is merged from the left, as far as there are pieces, unless a word takes one.
         self.runs = {len(s): i for s, i in model.ids.items() if not s.strip(MARK)}
         self.newline = np.array(model.fallback("\n") if "\n" not in model.ids else [model.ids["\n"]], "<u4").tobytes()
@@ -163,11 +164,14 @@ class Encoder:
 
     def _add(self, plain: set[str], marked: set[str]) -> None:
         if len(self.plain) + len(self.marked) > self.remembered:
-            self.plain.clear()
-            self.marked.clear()
-        plain.difference_update(self.plain)
+            self.older = self.plain, self.marked
+            self.plain, self.marked = {}, {}
+        for words, now, before in zip((plain, marked), (self.plain, self.marked), self.older):
+            words.difference_update(now)
+            known = words & before.keys()  # words still in use move on
+            now.update((w, before[w]) for w in known)
+            words -= known
         self.plain.update(encode_words(self.model, list(plain)))
-        marked.difference_update(self.marked)
         self.marked.update((w[1:], ids) for w, ids in encode_words(self.model, [MARK + w for w in marked]))
 
     def _run(self, marks: int) -> bytes:
