@@ -66,3 +66,33 @@ def test_packing_unique_ids(spark, awkward):
 
 def test_packing_empty(spark, no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_ids_by_pieces_equal_the_library_and_are_remembered():
+    import public_tokenizers
+    from trendlab.llm.packing import PieceIds
+    from trendlab.llm.token_counts import load_tokenizer
+
+    library = load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    asked = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    texts = ["", " ", "a", "a b's c", "Ein Wört, 12 x\n y\n\nz", " a", "a ", "a  b", "a\u0085 b", "a\x1cb c", "<|endoftext|> a <|end", "漢字 é ñ",
+             "it's we'll 'tis don't!!! ###", "a\tb \tc", "x" * 5000 + " y " * 3, "  a  b", "ab 12ab3 ab" * 9000]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (300_000, 3):
+        ids = PieceIds(Counted(), remembered)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in ids(texts)] == expected
+    ids = PieceIds(Counted())
+    ids(["one two three"])
+    asked.clear()
+    ids(["one two three two"])
+    assert "".join(asked) == "one"  # the first piece; the others are remembered

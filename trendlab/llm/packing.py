@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
+from .token_counts import _SEPARATORS, PieceCounts, load_tokenizer
+from .words import is_plain
 
 #: Fixed values of the contract: window size and the id that ends every document.
 CAPACITY, END_ID = 2048, 1
@@ -30,23 +32,17 @@ OPEN_WINDOWS, MERGE_FAN_IN = 8, 32
 #: Characters of text handed to the tokenizer at once: its encodings hold far more than the ids.
 ENCODE_CHARS = 1 << 20
 
-_TOKENIZERS: dict = {}
+#: Pieces whose ids a worker remembers; bounds its memory, not the result.
+REMEMBERED = 300_000
+#: Stands for a piece that begins or ends with white space, where a cut is not stable.
+_UNSTABLE = b"?"
+
+_WORKER: dict[str, PieceIds] = {}
 
 PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
          "offset long, leftover boolean, part long, ids array<int>")
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core, no thread pool
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
-
-
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
@@ -129,20 +125,76 @@ def _slices(texts: list[str], most: int = ENCODE_CHARS) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
+class PieceIds(PieceCounts):
+    """Ids of texts, as unsigned 32-bit little-endian bytes, through those of their pieces, remembered.
+
+    Cuts and their proof are those of ``PieceCounts``; texts of any length go by pieces.
+    """
+
+    def __init__(self, tokenizer, remembered: int = REMEMBERED):
+        super().__init__(tokenizer, remembered=remembered)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 1000):
+            some = texts[i : i + 1000]
+            for lo, hi in _slices(some):  # a bounded amount of text in the library at once
+                out += [np.array(e.ids, "<u4").tobytes()
+                        for e in self.tokenizer.encode_batch_fast(some[lo:hi], add_special_tokens=False)]
+        return out
+
+    def _of_cuts(self, cuts: list[str]) -> list[bytes]:
+        words = [c for c in cuts if c[0] == " " and c[1:].isalpha()]
+        known: dict[str, bytes] = {}
+        for i in range(0, len(words), 500):
+            few = words[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(few)], add_special_tokens=False)[0].ids, "<u4")
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(starts) != len(few):
+                raise ValueError("the vocabulary does not mark the beginnings of words as expected")
+            data = ids.tobytes()
+            known.update((w, data[a:b]) for w, a, b in zip(few, starts, [*starts[1:], len(data)]))
+        rest = [c for c in cuts if c not in known]
+        known.update(zip(rest, self._whole(rest)))
+        return [known[c] for c in cuts]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a space before them."""
+        cut = [self.CUT.findall(" " + p) if p and is_plain(p) and not _SEPARATORS.search(p) else None for p in pieces]
+        known = iter(self.cuts.of([cs for cs in cut if cs is not None]))
+        other = iter(self._whole([" " + p for p, cs in zip(pieces, cut) if cs is None]))
+        ids = [next(other) if cs is None else b"".join(next(known)) for cs in cut]
+        return [_UNSTABLE if not p or p[0].isspace() or p[-1].isspace() else x for p, x in zip(pieces, ids)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        firsts = self._whole([pieces[0] for pieces in split])
+        out: list[bytes] = []
+        late = []
+        for i, (pieces, first, rest) in enumerate(zip(split, firsts, self.pieces.of([p[1:] for p in split]))):
+            edge = pieces[0]
+            if (len(pieces) > 1 and (not edge or edge[-1].isspace())) or _UNSTABLE in rest:
+                late.append(i)
+            out.append(first + b"".join(rest))
+        for i, ids in zip(late, self._whole([texts[i] for i in late])):
+            out[i] = ids
+        return out
+
+
 def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows, part << 32)
-        tok = _tokenizer(path)
-        for b in batches:
+        if path not in _WORKER:
+            _WORKER[path] = PieceIds(load_tokenizer(path))
+        end = np.array([end_id], "<u4").tobytes()
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            doc_ids = b.column("doc_id").to_pylist()
-            for lo, hi in _slices(texts):  # a bounded amount of text in the library at once
-                for doc_id, e in zip(doc_ids[lo:hi], tok.encode_batch_fast(texts[lo:hi], add_special_tokens=False)):
-                    ids = np.append(np.asarray(e.ids, dtype=np.int64), end_id)
-                    packer.add(doc_id, 0, ids, len(ids))
+            for doc_id, encoded in zip(b.column("doc_id").to_pylist(), _WORKER[path](texts)):
+                ids = np.frombuffer(encoded + end, "<u4")
+                packer.add(doc_id, 0, ids, len(ids))
             if packer.emitted:
                 yield _batch(_rows(packer.emitted, False, part))
                 packer.emitted = []
