@@ -96,3 +96,34 @@ def test_ids_by_pieces_equal_the_library_and_are_remembered():
     asked.clear()
     ids(["one two three two"])
     assert "".join(asked) == "one"  # the first piece; the others are remembered
+
+
+def test_each_distinct_piece_of_a_batch_is_looked_up_once(monkeypatch):
+    from trendlab.llm import token_counts, words
+
+    looked = []
+    of = words.Remembered.of
+    monkeypatch.setattr(words.Remembered, "of", lambda self, groups: [looked.extend(g) for g in groups] and of(self, groups))
+    library = token_counts.load_tokenizer(PATH)
+    texts = ["one two, three.\nTwo two" * 300, "two two. three" * 50, "", "two"]
+    got = packing.PieceIds(library)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked) == len(set(looked))
+
+
+@pytest.mark.parametrize("remembered", [600_000, 40])
+def test_piece_ids_of_odd_texts_equal_the_library(remembered):
+    import random
+
+    from trendlab.llm.token_counts import load_tokenizer
+
+    library, rng = load_tokenizer(PATH), random.Random(7)
+    odd = ["a", "S", "'s", "'", "İ", "ß", " ", "  ", "\n", "\r\n", "\t", ".", ",", "?;", "1", "23", "٣", "\u0301", "漢", "\u3000",
+           "\u2009", "\xa0", "\x85", "\x1c", "\x01", "\x00", "😀", "<|endoftext|>", "<|", "ब", "한", "ぁ", "я", "\ufeff", "word", "it's"]
+    texts = ["".join(rng.choice(odd) + " " * (rng.random() < 0.3) for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(2000)]
+    ids = packing.PieceIds(library, remembered)
+    for i in range(0, len(texts), 300):
+        some = texts[i : i + 300]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids(some)] == [
+            library.encode(t, add_special_tokens=False).ids for t in some
+        ]

@@ -446,3 +446,31 @@ def test_words_in_use_are_kept_when_sentence_piece_memory_is_full(monkeypatch):
     for t in texts:
         again([t])
     assert learned.count("▁ab") == 1
+
+
+def test_each_distinct_word_of_a_batch_is_looked_up_once(monkeypatch):
+    from trendlab.llm import words
+
+    looked = []
+    of = words.Remembered.of
+    monkeypatch.setattr(words.Remembered, "of", lambda self, groups: [looked.extend(g) for g in groups] and of(self, groups))
+    library = token_counts.load_tokenizer(WORDS)
+    texts = ["One two, three.\nTwo two " * 300, "two two. three " * 50, "", "two"]
+    got = codes.WordIds(library)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked) == len(set(looked))
+
+
+@pytest.mark.parametrize("remembered", [800_000, 40])
+def test_word_ids_of_odd_texts_equal_the_library(remembered):
+    library, rng = token_counts.load_tokenizer(WORDS), random.Random(7)
+    odd = ["a", "S", "'s", "'", "İ", "ß", "É", "h", "H", "\u0331", "\u0301", "\u212a", "ΑΣ", " ", "\n", "\t", ".", ",", "?;", "1", "23", "٣",
+           "漢", "\u3000", "\xa0", "\x85", "\x1c", "\x01", "\x00", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|",
+           "ब", "ﬁ", "²", "ª", "word", "Word", "it's", "x" * 90]
+    texts = ["".join(rng.choice(odd) + " " * (rng.random() < 0.3) for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(2000)]
+    ids = codes.WordIds(library, remembered)
+    for i in range(0, len(texts), 300):
+        some = texts[i : i + 300]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids(some)] == [
+            library.encode(t, add_special_tokens=False).ids for t in some
+        ]

@@ -13,7 +13,6 @@ the next), rows of ``document`` say where each document lies.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,15 +24,19 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import shared_dir, stored
 from .token_counts import load_tokenizer
-from .words import LETTERS, NUMBERS, Remembered, is_plain
+from .words import CutIds, after_word, is_plain
 
 #: Bits of a bitmap between two entries of its rank directory.
 _BLOCK = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
-REMEMBERED = 400_000
-#: Separators that Python's split would drop, but the tokenizer reads as text.
-_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words that each of a worker's two generations remembers; bounds its memory, not the result.
+REMEMBERED = 800_000
+#: Between words that go to the library in a row; a pre-token of its own.
+_APART = "\x01"
+#: White space that ends a word wherever it stands, and the lower-case form of ASCII bytes with all of it as spaces.
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+_LOWER = np.where(_SPACE, ord(" "), np.frombuffer(bytes(range(256)).lower(), np.uint8)).astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -104,54 +107,48 @@ class Packed:
         return out
 
 
-class WordIds:
+class WordIds(CutIds):
     """Ids of texts through the ids of their words, remembered as bytes.
 
     White space ends a word for this tokenizer and is dropped, so a text's ids are those of its words
-    in turn. A plain word is cut into the library's pre-tokens, which words share; these are encoded
-    by the library, many in a row: the last piece of each is marked as the end of a word. Other words
-    are given to the library as they are.
+    in turn; a stop after a letter or number begins a pre-token. Plain texts are lower-cased before, as
+    the tokenizer would do. Of plain words many in a row go to the library, where the last piece of each
+    is marked as the end of a word; other words are set apart by a control character between them.
     """
 
-    # Fixed value: the pattern by which the vocabulary's file cuts lower-cased words.
-    CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
-
     def __init__(self, tokenizer, remembered: int = REMEMBERED):
-        self.tokenizer = tokenizer
+        super().__init__(tokenizer, remembered)
         self.ends = np.array([
             (tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())
         ])
-        self.cuts = Remembered(self._of_cuts, remembered)
-        self.words = Remembered(self._of_words, remembered)
-
-    def _whole(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 1000):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-
-    def _of_cuts(self, cuts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(cuts), 500):
-            few = cuts[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(few)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(few):
-                raise ValueError("the vocabulary does not mark the ends of words as expected")
-            data, start = ids.tobytes(), 0
-            for stop in stops:
-                yield data[start:stop]
-                start = stop
-
-    def _of_words(self, words: list[str]) -> Iterator[bytes]:
-        cut = [self.CUT.findall(w.lower()) if is_plain(w) else None for w in words]
-        ids = iter(self.cuts.of([cs for cs in cut if cs is not None]))
-        other = iter(list(self._whole([w for w, cs in zip(words, cut) if cs is None])))
-        return (next(other) if cs is None else b"".join(next(ids)) for cs in cut)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        ids = iter(self.words.of([words for words in split if words is not None]))
-        other = iter(list(self._whole([t for t, words in zip(texts, split) if words is None])))
-        return [next(other) if words is None else b"".join(next(ids)) for words in split]
+        apart = tokenizer.encode(_APART, add_special_tokens=False).ids
+        #: The id between words; without one such id, these words go to the library one by one.
+        self.apart = apart[0] if len(apart) == 1 else None
+
+    def cut(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Rows with a letter from PLAIN on, or what may be a special string, stay as they are.
+        other = data > 0xC4
+        other[:-1] |= (data[:-1] == 0xC4) & (data[1:] >= 0xB0)
+        other[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        lower = _LOWER[data]
+        for row in np.unique(np.searchsorted(rows, np.flatnonzero(other), "right") - 1).tolist():
+            lower[rows[row] : rows[row + 1]] = data[rows[row] : rows[row + 1]]
+        return lower, _SPACE[data] | after_word(data)
+
+    def _words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return np.append(0, stops[:-1])[: len(stops)], stops
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        words = [p.strip(" \t\n\v\f\r") for p in pieces]
+        plain = [w.isalpha() and is_plain(w) for w in words]
+        apart = [
+            not p and bool(w) and self.apart is not None and _APART not in w and "<|" not in w for w, p in zip(words, plain)
+        ]
+        ids = self.joined([w for w, p in zip(words, plain) if p], " ", self._words)
+        others = self.joined([w for w, a in zip(words, apart) if a], f" {_APART} ", lambda ids: self.between(ids, self.apart))
+        lone = self.whole([w for w, p, a in zip(words, plain, apart) if not (p or a)])
+        return [next(ids if p else others if a else lone) for p, a in zip(plain, apart)]
 
 
 _ROW = pa.schema([
@@ -172,7 +169,7 @@ def _write(path: str, end_id: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORKER:
             _WORKER[path] = WordIds(load_tokenizer(path))
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        part, end = TaskContext.get().partitionId(), np.uint32(end_id)
         first = place = segments = started = 0
         held: list[tuple[int, np.ndarray]] = []
 
@@ -187,12 +184,10 @@ def _write(path: str, end_id: int, segment: int):
 
         size = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch, encoded in _WORKER[path].batches(whole):
                 rows = []
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc, encoded in zip(batch.column("id").to_pylist(), _WORKER[path](texts)):
-                    ids = np.frombuffer(encoded + end, "<u4")
+                for doc, ids in zip(batch.column("id").to_pylist(), encoded):
+                    ids = np.append(ids, end)
                     rows.append({"kind": "document", "part": part, "place": place, "first": first, "n": len(ids), "doc_id": doc})
                     for i in range(0, len(ids), segment):
                         held.append((place, ids[i : i + segment]))

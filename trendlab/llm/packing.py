@@ -21,21 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
-from .token_counts import _SEPARATORS, PieceCounts, load_tokenizer
-from .words import is_plain
+from .token_counts import load_tokenizer
+from .words import SPACE, CutIds, after_word
 
 #: Fixed values of the contract: window size and the id that ends every document.
 CAPACITY, END_ID = 2048, 1
 #: Open windows per task; leftover groups merged at once.
 OPEN_WINDOWS, MERGE_FAN_IN = 8, 32
 
-#: Characters of text handed to the tokenizer at once: its encodings hold far more than the ids.
-ENCODE_CHARS = 1 << 20
-
-#: Pieces whose ids a worker remembers; bounds its memory, not the result.
-REMEMBERED = 300_000
-#: Stands for a piece that begins or ends with white space, where a cut is not stable.
-_UNSTABLE = b"?"
+#: Pieces whose ids each of a worker's two generations remembers; bounds its memory, not the result.
+REMEMBERED = 600_000
+#: Bytes that begin a character which is not white space in any script, and those of them before one or two more bytes.
+_LEAD2 = np.isin(np.arange(256), range(0xC3, 0xE0))
+_LEAD3 = np.isin(np.arange(256), [0xE0, *range(0xE4, 0xF0)])
+_TEXT = ~SPACE & (np.arange(256) < 0x80) | _LEAD2 | _LEAD3 | (np.arange(256) >= 0xF0)
 
 _WORKER: dict[str, PieceIds] = {}
 
@@ -113,72 +112,45 @@ def _batch(cols: dict) -> pa.RecordBatch:
                                       names=list(cols))
 
 
-def _slices(texts: list[str], most: int = ENCODE_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most ``most`` characters together (a longer text alone)."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > most:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
-class PieceIds(PieceCounts):
-    """Ids of texts, as unsigned 32-bit little-endian bytes, through those of their pieces, remembered.
+class PieceIds(CutIds):
+    """Ids of texts through those of their pieces, remembered.
 
-    Cuts and their proof are those of ``PieceCounts``; texts of any length go by pieces.
+    A piece begins at a space or line end between two characters that are not white space, behind such a
+    line end, and at a stop after a letter or number: the byte-level pre-tokenizer always starts a new
+    pre-token there, and no special string holds such a place. Pieces go to the library in a row, with a
+    line end, which has an id of its own, between them.
     """
 
     def __init__(self, tokenizer, remembered: int = REMEMBERED):
-        super().__init__(tokenizer, remembered=remembered)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 1000):
-            some = texts[i : i + 1000]
-            for lo, hi in _slices(some):  # a bounded amount of text in the library at once
-                out += [np.array(e.ids, "<u4").tobytes()
-                        for e in self.tokenizer.encode_batch_fast(some[lo:hi], add_special_tokens=False)]
-        return out
-
-    def _of_cuts(self, cuts: list[str]) -> list[bytes]:
-        words = [c for c in cuts if c[0] == " " and c[1:].isalpha()]
-        known: dict[str, bytes] = {}
-        for i in range(0, len(words), 500):
-            few = words[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(few)], add_special_tokens=False)[0].ids, "<u4")
-            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
-            if len(starts) != len(few):
-                raise ValueError("the vocabulary does not mark the beginnings of words as expected")
-            data = ids.tobytes()
-            known.update((w, data[a:b]) for w, a, b in zip(few, starts, [*starts[1:], len(data)]))
-        rest = [c for c in cuts if c not in known]
-        known.update(zip(rest, self._whole(rest)))
-        return [known[c] for c in cuts]
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces with a space before them."""
-        cut = [self.CUT.findall(" " + p) if p and is_plain(p) and not _SEPARATORS.search(p) else None for p in pieces]
-        known = iter(self.cuts.of([cs for cs in cut if cs is not None]))
-        other = iter(self._whole([" " + p for p, cs in zip(pieces, cut) if cs is None]))
-        ids = [next(other) if cs is None else b"".join(next(known)) for cs in cut]
-        return [_UNSTABLE if not p or p[0].isspace() or p[-1].isspace() else x for p, x in zip(pieces, ids)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        firsts = self._whole([pieces[0] for pieces in split])
-        out: list[bytes] = []
-        late = []
-        for i, (pieces, first, rest) in enumerate(zip(split, firsts, self.pieces.of([p[1:] for p in split]))):
-            edge = pieces[0]
-            if (len(pieces) > 1 and (not edge or edge[-1].isspace())) or _UNSTABLE in rest:
-                late.append(i)
-            out.append(first + b"".join(rest))
-        for i, ids in zip(late, self._whole([texts[i] for i in late])):
-            out[i] = ids
-        return out
+        super().__init__(tokenizer, remembered)
+        self.line = tokenizer.token_to_id("Ċ")
+
+    def cut(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Only such neighbours count as text whose bytes cannot be those of white space beyond ASCII.
+        begins = _TEXT[data]
+        ends = (data < 0x80) & begins
+        ends[1:] |= _LEAD2[data[:-1]]
+        ends[2:] |= _LEAD3[data[:-2]]
+        ends[3:] |= data[:-3] >= 0xF0
+        begins[rows[:-1][rows[:-1] < len(data)]] = False  # a row's end is no neighbour
+        between = np.zeros(len(data), bool)
+        between[1:-1] = ends[:-2] & begins[2:]
+        marks = after_word(data)
+        lines = between & (data == ord("\n"))
+        marks |= lines | (between & (data == ord(" ")))
+        marks[1:] |= lines[:-1]
+        return data, marks
+
+    def _is_line(self, piece: str) -> bool:
+        """Text without line ends, at most one space before it and no white space behind."""
+        text = piece[1:] if piece[0] == " " else piece
+        return bool(text) and not (text[0].isspace() or text[-1].isspace() or "\n" in text or "<|" in text)
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        line = [self.line is not None and self._is_line(p) for p in pieces]
+        ids = self.joined([p for p, x in zip(pieces, line) if x], "\n", lambda ids: self.between(ids, self.line))
+        lone = self.whole([p for p, x in zip(pieces, line) if not x])
+        return [next(ids if x else lone) for x in line]
 
 
 def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):
@@ -189,11 +161,10 @@ def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):
         packer = Packer(capacity, open_windows, part << 32)
         if path not in _WORKER:
             _WORKER[path] = PieceIds(load_tokenizer(path))
-        end = np.array([end_id], "<u4").tobytes()
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, encoded in zip(b.column("doc_id").to_pylist(), _WORKER[path](texts)):
-                ids = np.frombuffer(encoded + end, "<u4")
+        end = np.uint32(end_id)
+        for b, encoded in (part for whole in batches for part in _WORKER[path].batches(whole)):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoded):
+                ids = np.append(ids, end)
                 packer.add(doc_id, 0, ids, len(ids))
             if packer.emitted:
                 yield _batch(_rows(packer.emitted, False, part))
