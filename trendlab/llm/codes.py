@@ -31,7 +31,7 @@ _BLOCK = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
 #: Words that each of a worker's two generations remembers; bounds its memory, not the result.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Between words that go to the library in a row; a pre-token of its own.
 _APART = "\x01"
 #: White space that ends a word wherever it stands, and the lower-case form of ASCII bytes with all of it as spaces.
@@ -140,15 +140,16 @@ class WordIds(CutIds):
         return np.append(0, stops[:-1])[: len(stops)], stops
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
         words = [p.strip(" \t\n\v\f\r") for p in pieces]
-        plain = [w.isalpha() and is_plain(w) for w in words]
-        apart = [
-            not p and bool(w) and self.apart is not None and _APART not in w and "<|" not in w for w, p in zip(words, plain)
-        ]
-        ids = self.joined([w for w, p in zip(words, plain) if p], " ", self._words)
-        others = self.joined([w for w, a in zip(words, apart) if a], f" {_APART} ", lambda ids: self.between(ids, self.apart))
-        lone = self.whole([w for w, p, a in zip(words, plain, apart) if not (p or a)])
-        return [next(ids if p else others if a else lone) for p, a in zip(plain, apart)]
+        plain = [w for w in words if w.isalpha() and is_plain(w)]
+        known.update(zip(plain, self.joined(plain, " ", self._words)))
+        rest = [w for w in words if w not in known]
+        apart = [w for w in rest if w and self.apart is not None and _APART not in w and "<|" not in w]
+        known.update(zip(apart, self.joined(apart, f" {_APART} ", lambda ids: self.between(ids, self.apart))))
+        rest = [w for w in rest if w not in known]
+        known.update(zip(rest, self.whole(rest)))
+        return [known[w] for w in words]
 
 
 _ROW = pa.schema([
@@ -226,9 +227,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
             codes, at, out = Packed(one["data"]), 0, []
+            data = memoryview(codes.ids(0, codes.size).tobytes())
             for place, n in zip(one["docs"], one["lengths"]):
-                data = codes.ids(at, at + n).tobytes()
-                out.append({"part": one["part"], "doc": place, "place": one["place"], "n": n, "crc": zlib.crc32(data)})
+                crc = zlib.crc32(data[4 * at : 4 * (at + n)])
+                out.append({"part": one["part"], "doc": place, "place": one["place"], "n": n, "crc": crc})
                 at += n
             yield pa.RecordBatch.from_pylist(out, pa.schema([
                 ("part", pa.int32()), ("doc", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()),

@@ -144,13 +144,16 @@ class PieceIds(CutIds):
     def _is_line(self, piece: str) -> bool:
         """Text without line ends, at most one space before it and no white space behind."""
         text = piece[1:] if piece[0] == " " else piece
+        if text.isalpha():
+            return True
         return bool(text) and not (text[0].isspace() or text[-1].isspace() or "\n" in text or "<|" in text)
 
     def encoded(self, pieces: list[str]) -> list[bytes]:
-        line = [self.line is not None and self._is_line(p) for p in pieces]
-        ids = self.joined([p for p, x in zip(pieces, line) if x], "\n", lambda ids: self.between(ids, self.line))
-        lone = self.whole([p for p, x in zip(pieces, line) if not x])
-        return [next(ids if x else lone) for x in line]
+        line = [p for p in pieces if self._is_line(p)] if self.line is not None else []
+        known = dict(zip(line, self.joined(line, "\n", lambda ids: self.between(ids, self.line))))
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self.whole(rest)))
+        return [known[p] for p in pieces]
 
 
 def _pack_documents(path: str, capacity: int, open_windows: int, end_id: int):

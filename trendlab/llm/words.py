@@ -135,8 +135,9 @@ class CutIds:
 
     def joined(
         self, pieces: list[str], separator: str, parts: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
-    ) -> Iterator[bytes]:
+    ) -> list[bytes]:
         """Ids of pieces that the library gets in a row; ``parts`` gives their beginnings and ends among all ids."""
+        out: list[bytes] = []
         for i in range(0, len(pieces), JOINED):
             few = pieces[i : i + JOINED]
             for lo, hi in slices([len(p) for p in few], ENCODE_CHARS):
@@ -146,8 +147,8 @@ class CutIds:
                 if len(begins) != hi - lo:
                     raise ValueError("the vocabulary does not mark the borders of pieces as expected")
                 data = ids.tobytes()
-                for a, b in zip((4 * begins).tolist(), (4 * ends).tolist()):
-                    yield data[a:b]
+                out += [data[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+        return out
 
     @staticmethod
     def between(ids: np.ndarray, separator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +170,8 @@ class CutIds:
         pieces = pa.StringArray.from_buffers(len(alone), *buffers)
         shared = pa.StringArray.from_buffers(len(alone), *buffers, pa.py_buffer(np.packbits(~alone, bitorder="little")))
         coded = shared.dictionary_encode()
-        known = self.pieces.of([coded.dictionary.to_pylist()])[0]
-        known += self.encoded(pieces.filter(pa.array(alone)).to_pylist())
+        known = self.pieces.of([coded.dictionary.to_numpy(zero_copy_only=False).tolist()])[0]
+        known += self.encoded(pieces.filter(pa.array(alone)).to_numpy(zero_copy_only=False).tolist())
         index = coded.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         index[alone] = np.arange(len(coded.dictionary), len(known))
         flat = np.frombuffer(b"".join(known), "<u4")
