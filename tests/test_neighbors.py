@@ -40,3 +40,45 @@ def test_pruned_and_exact(spark, clustered, k, threshold):
     assert {(r.term, r.neighbor, round(r.sim, 6), r.pos) for r in got if r.term in dict(sound) and r.neighbor in dict(sound)} == want
     assert report["blocks"] > 6  # clusters of 60 rows are split into blocks of at most 40
     assert report["tiles"] < report["possible"]
+
+
+def _rows_out_of_python(df):
+    """Rows that the Python steps of an executed plan have given."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        n = 0
+        if "InArrow" in name:
+            n = node.metrics().apply("pythonNumRowsReceived").value()
+        children = node.children()
+        return n + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_lists_are_joined_where_they_are_made(spark):
+    """However many blocks there are, no more than k rows per term leave the tasks."""
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    df = spark.createDataFrame([(f"t{i}", v.tolist()) for i, v in enumerate(x)], "term string, vector array<float>")
+    report = {}
+    out = neighbors.knn_join(df, k=4, block_rows=40, report=report)
+    assert len(out.collect()) == 600 * 4
+    assert report["blocks"] >= 15 and 0 < _rows_out_of_python(out) <= 600 * 4
+
+
+def test_repeated_and_missing_terms(spark):
+    """Rows of one term each bring their list, of which the term keeps the k best."""
+    x = np.random.default_rng(4).normal(size=(90, 6))
+    rows = [(None if i % 30 == 7 else f"t{i % 60:02d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "term string, vector array<double>")
+    got = {}
+    for r in neighbors.knn_join(df, k=3, block_rows=11).collect():
+        got.setdefault(r.term, {})[r.pos] = (r.neighbor, round(r.sim, 6))
+    sims = x @ x.T
+    for term in {t for t, _ in rows}:
+        best = sorted(((round(float(sims[i, j]), 6), rows[j][0]) for i, r in enumerate(rows) if r[0] == term
+                       for j in range(90)), key=lambda p: (-p[0], p[1] is not None, p[1] or ""))[:3]
+        assert [got[term][p + 1] for p in range(3)] == [(n, s) for s, n in best]

@@ -1,9 +1,9 @@
 """Vectors of terms and the exact k-nearest-neighbour self-join.
 
 An exact cosine join of dense vectors has to look at every pair; what Spark decides is how. Terms
-are hashed into blocks of bounded size and each unordered pair of blocks becomes one tile, i.e. one
-matrix product inside one task. A tile returns at most ``k`` rows per term of it, so pairs are never
-shuffled, and hashing the (distinct) terms keeps blocks even whatever the texts look like.
+are dealt into blocks of bounded size, and a block is one row from there on. A task holds some blocks
+and meets, one after another, those that can hold a neighbour of theirs. It keeps the best ``k`` of each
+of its rows, so neither pairs nor lists per pair of blocks are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trendlab.functions import l2_normalize, ngram_embedder
 from trendlab.functions.embedding import Embedder
-from trendlab.operators.tiles import tile_top_k
+from trendlab.operators.tiles import PACKED, nearest, own_bars, pack
 
 # Executors need not have this package installed: the assignment pass travels with the task.
 from pyspark import cloudpickle  # noqa: E402
@@ -28,6 +28,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_BLOCK_ROWS = 16_384
 MIN_BLOCK_ROWS = 256
 TILES_PER_TASK = 4
+# Rows whose neighbours one task looks for: at 384 dimensions 150 MB. Each task reads all vectors that can
+# be their neighbours, so fewer tasks shuffle less; there are a few per core, to be dealt evenly.
+QUERY_ROWS = 32_768
+TASKS_PER_CORE = 3
 
 
 def parallelism(df: DataFrame) -> int:
@@ -109,8 +113,8 @@ def _assign(centres: np.ndarray):
                 angle[idx] = np.arccos(np.clip(dots[np.arange(len(best)), best], -1.0, 1.0))
                 norm[idx] = n[ok]
             yield pa.RecordBatch.from_arrays(
-                [b.column("term"), vectors, pa.array(cluster), pa.array(angle), pa.array(norm)],
-                names=["term", "vector", "cluster", "angle", "norm"])
+                [b.column("term"), vectors, b.column("place"), pa.array(cluster), pa.array(angle), pa.array(norm)],
+                names=["term", "vector", "place", "cluster", "angle", "norm"])
     return run
 
 
@@ -141,19 +145,20 @@ def knn_join(
     drops neighbours below it. Exact: terms are grouped around centres (the vectors of smallest
     term hash, ``CENTRE_SAMPLE`` per block wanted, best of them by an assignment pass) into blocks of
     at most ``block_rows`` (larger clusters are split by hash); each block knows its angular radius
-    and the range of its norms. A tile of two blocks is computed only if its bound on the product,
-    from angle(c1, c2) - r1 - r2 and the norms, reaches the bar: the threshold, and without one the
-    k-th best product that every term of either block already has in its own block. Terms without
-    a sound vector (null, other length, zero, not finite) are never pruned and find nothing.
-    ``report`` receives the tiles computed and possible.
+    and the range of its norms. A block is compared with another only if the bound on their products,
+    from angle(c1, c2) - r1 - r2 and the norms, reaches its bar: the threshold, and without one the
+    k-th best product that each of its terms already has inside it (sought only where it can rule out
+    a block). Terms without a sound vector (null, other length, zero, not finite) are never pruned;
+    null vectors find nothing. Until the end a number in term order stands for a term. ``report``
+    receives the pairs of blocks, in both directions, that were compared and that there are.
     """
     tasks = tasks or parallelism(vectors)
-    vectors = materialized(vectors.select("term", "vector"))
+    vectors = materialized(vectors.select("term", "vector").where(F.col("vector").isNotNull()))
     n = vectors.count()
-    target = block_rows or MAX_BLOCK_ROWS
-    wanted = max(1, math.ceil(n / target), min(math.ceil(n / MIN_BLOCK_ROWS), math.ceil(math.sqrt(2 * TILES_PER_TASK * tasks))))
-    sample = (vectors.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("term"), "term")
-              .limit(wanted * CENTRE_SAMPLE).collect())
+    most = block_rows or MAX_BLOCK_ROWS
+    wanted = max(1, math.ceil(n / most), min(math.ceil(n / MIN_BLOCK_ROWS), math.ceil(math.sqrt(2 * TILES_PER_TASK * tasks))))
+    target = block_rows or min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n / wanted)))
+    sample = vectors.orderBy(F.xxhash64("term"), "term").limit(wanted * CENTRE_SAMPLE).collect()
     widths = [len(r.vector) for r in sample]
     width = max(set(widths), key=widths.count) if widths else 0
     kept = [r.vector for r in sample if len(r.vector) == width]
@@ -172,47 +177,63 @@ def knn_join(
         chosen.append(nxt)
         far = np.minimum(far, 1 - unit @ unit[nxt])
     centres = pool[chosen]
-    schema = T.StructType([vectors.schema["term"], vectors.schema["vector"], T.StructField("cluster", T.LongType()),
-                           T.StructField("angle", T.DoubleType()), T.StructField("norm", T.DoubleType())])
-    assigned = vectors.mapInArrow(_assign(centres), schema)
+    schema = T.StructType([vectors.schema["term"], vectors.schema["vector"], T.StructField("place", T.LongType()),
+                           T.StructField("cluster", T.LongType()), T.StructField("angle", T.DoubleType()),
+                           T.StructField("norm", T.DoubleType())])
+    placed = vectors.orderBy("term").withColumn("place", F.monotonically_increasing_id())
+    assigned = materialized(placed.mapInArrow(_assign(centres), schema))
     sizes = assigned.groupBy("cluster").agg(F.count("*").alias("size"))
     split = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(target)))
-    blocked = materialized(
+    packed = materialized(
         assigned.join(F.broadcast(sizes), "cluster").withColumn(
-            "block", (F.col("cluster") * F.lit(1 << 20) + F.pmod(F.xxhash64("term"), split)).cast("long"))
-        .drop("size"))
-    blocks = blocked.groupBy("block").agg(
-        F.first("cluster").alias("cluster"), F.max("angle").alias("radius"),
-        F.max("norm").alias("high"), F.min("norm").alias("low")).collect()
-    bound, ids = _bounds(blocks, centres) if blocks else (np.zeros((0, 0)), np.zeros(0, dtype=np.int64))
+            "block", (F.col("cluster") * F.lit(1 << 20) + F.pmod(F.xxhash64("place"), split)).cast("long"))
+        .select("block", *assigned.columns).groupBy("block").applyInArrow(pack(k), PACKED))
+    blocks = packed.select("block", "cluster", "radius", "high", "low", "size").collect()
     spark = vectors.sparkSession
-
-    def run(pairs: list[tuple[int, int]]) -> DataFrame:
-        tiles = spark.createDataFrame(pairs, "left long, right long")
-        tiles = F.broadcast(tiles) if len(pairs) * 16 <= 32 << 20 else tiles
-        rows = blocked.select("term", "vector", "block")
-        dealt = rows.join(tiles, rows["block"] == tiles["left"]).unionByName(
-            rows.join(tiles, (rows["block"] == tiles["right"]) & (tiles["left"] != tiles["right"])))
-        return (dealt.repartition(max(1, min(tasks, len(pairs))), "left", "right").groupBy("left", "right")
-                .applyInArrow(tile_top_k(k, threshold), "term string, neighbor string, sim double"))
-
-    m = len(ids)
-    own = run([(int(b), int(b)) for b in ids]) if m else None
-    bar = np.full(m, -np.inf if threshold is None else threshold)
-    if m and threshold is None:
-        own = materialized(own)
-        kth = {r.block: r.kth for r in own.join(blocked.select("term", "block"), "term").groupBy("term", "block")
-               .agg(F.count("*").alias("c"), F.min("sim").alias("s"))
-               .groupBy("block").agg(F.min(F.when(F.col("c") >= k, F.col("s"))).alias("kth"),
-                                     F.min(F.when(F.col("c") >= k, 1).otherwise(0)).alias("full")).collect()
-               if r.kth is not None and r.full}
-        bar = np.array([kth.get(int(b), -np.inf) for b in ids])
-    pairs = [(int(ids[i]), int(ids[j])) for i in range(m) for j in range(i + 1, m)
-             if bound[i, j] >= min(bar[i], bar[j])]
-    if report is not None:
-        report.update(tiles=m + len(pairs), possible=m * (m + 1) // 2, blocks=m)
-    found = own if not pairs else own.unionByName(run(pairs))
-    if found is None:
+    if not blocks:
+        if report is not None:
+            report.update(tiles=0, possible=0, blocks=0)
         return spark.createDataFrame([], "term string, neighbor string, sim double, pos int")
+    bound, ids = _bounds(blocks, centres)
+    floor = np.full(len(blocks), -np.inf if threshold is None else float(threshold))
+    if threshold is None:
+        # No bar is above the largest product of the block's shortest vector: it could not rule out any block.
+        largest = np.array([b.low * b.high for b in blocks])
+        useful = [int(x) for x in ids[bound.min(axis=1) < largest]]
+        own = packed.where(F.col("block").isin(useful)).mapInArrow(own_bars(k), "block long, bar double")
+        bars = {r.block: r.bar for r in own.collect()} if useful else {}
+        floor = np.array([bars.get(b.block, -np.inf) for b in blocks])
+    needed = bound >= floor[:, None]
+    np.fill_diagonal(needed, True)
+    if report is not None:
+        report.update(tiles=int(needed.sum()), possible=needed.size, blocks=len(blocks))
+    shares = _shares(np.array([b.size for b in blocks]), needed, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    dealt = []
+    for task, share in enumerate(shares):
+        dealt += [(task, 0, int(ids[q]), float(floor[q]), None) for q in share]
+        dealt += [(task, 1 if t in share else 2, int(ids[t]), None, [int(x) for x in ids[share][needed[share, t]]])
+                  for t in np.flatnonzero(needed[share].any(axis=0))]
+    pairs = spark.createDataFrame(dealt, "task int, seq int, block long, floor double, queries array<long>")
+    pairs = F.broadcast(pairs) if (len(dealt) * 5 + int(needed.sum())) * 8 <= 32 << 20 else pairs
+    found = (packed.join(pairs, "block")
+             .withColumn("terms", F.when(F.col("seq") == 0, F.col("terms")))
+             .repartitionById(len(shares), "task").sortWithinPartitions("task", "seq")
+             .mapInArrow(nearest(k), "term string, neighbor long, sim double"))
+    names = assigned.select(F.col("place").alias("neighbor"), F.col("term").alias("name"))
+    found = found.join(names, "neighbor").select("term", F.col("name").alias("neighbor"), "sim")
     by_similarity = Window.partitionBy("term").orderBy(F.desc("sim"), F.asc("neighbor"))
     return found.withColumn("pos", F.row_number().over(by_similarity)).where(F.col("pos") <= k)
+
+
+def _shares(sizes: np.ndarray, needed: np.ndarray, tasks: int) -> list[np.ndarray]:
+    """Blocks dealt to tasks, so that these compare about equally many pairs of rows; the longest task first."""
+    tasks = min(len(sizes), max(tasks, math.ceil(sizes.sum() / QUERY_ROWS)))
+    work = sizes * (needed @ sizes)
+    share, load, rows = [[] for _ in range(tasks)], np.zeros(tasks), np.zeros(tasks)
+    for block in np.argsort(-work, kind="stable"):
+        full = rows + sizes[block] > max(QUERY_ROWS, 2 * sizes[block])
+        task = int(np.argmin(np.where(full, load + work.sum(), load)))
+        share[task].append(block)
+        load[task] += work[block]
+        rows[task] += sizes[block]
+    return [np.array(share[t]) for t in np.argsort(-load, kind="stable") if share[t]]
