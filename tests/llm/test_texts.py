@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -461,6 +462,20 @@ def test_each_distinct_word_of_a_batch_is_looked_up_once(monkeypatch):
     assert len(looked) == len(set(looked))
 
 
+def test_ids_are_put_in_place_in_little_memory():
+    import tracemalloc
+
+    ids = codes.WordIds(token_counts.load_tokenizer(WORDS))
+    column = pa.array(["the cat sat on the mat " * 2000] * 50)
+    ids.of(column)
+    tracemalloc.start()
+    try:
+        ids.of(column)
+        assert tracemalloc.get_traced_memory()[1] < 11 * column.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("remembered", [800_000, 40])
 def test_word_ids_of_odd_texts_equal_the_library(remembered):
     library, rng = token_counts.load_tokenizer(WORDS), random.Random(7)
